@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .bpe import op2_bpe
+from .simhash import op6_simhash
+from .toxicity import op3_toxicity
+from .htmltext import op5_html
+from .secrets import op4_secrets
 from .winnow import op1_winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +34,9 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_winnowing": _shipped(op1_winnowing),
     "op2_bpe": _shipped(op2_bpe),
+    "op6_simhash": _shipped(op6_simhash),
+    "op3_toxicity": _shipped(op3_toxicity),
+    "op4_secrets": _shipped(op4_secrets),
+    "op5_html": _shipped(op5_html),
 }
 SQL: dict[str, str] = {}
