@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .bpe import op2_bpe
 from .simhash import op6_simhash
+from .spans import op8_spans
 from .toxicity import op3_toxicity
+from .decontaminate import op9_decontaminate
 from .htmltext import op5_html
+from .ppm import op7_ppm
 from .secrets import op4_secrets
 from .winnow import op1_winnowing
 
@@ -38,5 +41,8 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": _shipped(op3_toxicity),
     "op4_secrets": _shipped(op4_secrets),
     "op5_html": _shipped(op5_html),
+    "op7_ppm": _shipped(op7_ppm),
+    "op8_spans": _shipped(op8_spans),
+    "op9_decontaminate": _shipped(op9_decontaminate),
 }
 SQL: dict[str, str] = {}
