@@ -13,6 +13,7 @@ from .spans import op8_spans
 from .toxicity import op3_toxicity
 from .decontaminate import op9_decontaminate
 from .htmltext import op5_html
+from .pii import op10_pii
 from .ppm import op7_ppm
 from .secrets import op4_secrets
 from .winnow import op1_winnowing
@@ -44,5 +45,7 @@ QUERIES: dict[str, Query] = {
     "op7_ppm": _shipped(op7_ppm),
     "op8_spans": _shipped(op8_spans),
     "op9_decontaminate": _shipped(op9_decontaminate),
+    "op10_pii": _shipped(op10_pii),
+    "pipeline": _shipped(pipeline),
 }
 SQL: dict[str, str] = {}
