@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 Terms are runs of ``GRAM`` code points in lower case, chosen where labels of the
-training sample go with them (chi-square), weighted (1 + ln tf) * idf with
+training sample go with them (chi-square, and ``LEAST_LIFT`` times as often in
+toxic texts), weighted (1 + ln tf) * idf with
 document frequencies over all documents. The labelled examples stand in an
 inverted index by blocks of ``BLOCK`` examples; each block knows the largest
 weight that each term has in it. A query bounds every block's cosine by these,
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize, table
 from .winnow import gram_hashes
 
-GRAM, SAMPLE, TERMS, LEAST_CHI2, LEAST_DF = 5, 20_000, 4096, 25.0, 3
-BLOCK, NEAREST = 64, 16
+GRAM, SAMPLE, TERMS, LEAST_CHI2, LEAST_DF, LEAST_LIFT = 5, 20_000, 1024, 25.0, 3, 5.0
+BLOCK, NEAREST = 256, 16
 _SHIFT = np.uint64(44)
 
 
@@ -148,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    some = materialize(d.join(F.broadcast(known), "id"))
+    # Copies of a text count once, as toxic if one of them is.
+    some = materialize(d.join(F.broadcast(known), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y")))
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
         apart = b * (n0 - a) - a * (n1 - b)
         chi2 = n * apart * apart / ((a + b) * (n - a - b) * float(n0) * float(n1))
-        rows = counts.where((F.col("a") + F.col("b") >= LEAST_DF) & (a + b < n) & (apart > 0)).select("h", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "h").limit(TERMS).collect()
+        rows = counts.where((F.col("a") + F.col("b") >= LEAST_DF) & (a + b < n) & (apart > 0) & (b * n0 >= LEAST_LIFT * a * n1)).select("h", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "h").limit(TERMS).collect()
         chosen = [r["h"] for r in rows]
     terms = Terms(chosen)
     size = len(chosen)
