@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,20 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(top, name)
                     z.write(path, os.path.join("lodegraph", os.path.relpath(path, here)))
     spark.sparkContext.addPyFile(to)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodegraph.shared.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="lodegraph-")
+        spark.conf.set("lodegraph.shared.dir", where)
+    return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
