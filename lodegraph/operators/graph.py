@@ -67,16 +67,15 @@ class Graph:
     def random_walk(self, seeds: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
         """(seed, id, mass): random walk with restart from each seed (id), scaled to sum 1 each round; vertices without edges lose their mass."""
         deg = self.degrees()
-        hops = self.edges.join(deg, F.col("src") == F.col("id")).select("src", "dst", "deg")
+        hops = written(self.edges.join(deg, F.col("src") == F.col("id")).select("src", "dst", "deg"))
         start = seeds.select(F.col("id").alias("seed")).distinct()
         now = start.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("mass"))
-        for n in range(rounds):
+        for _ in range(rounds):
             moved = now.join(hops, now["id"] == hops["src"]).select("seed", F.col("dst").alias("id"), (alpha * F.col("mass") / F.col("deg")).alias("mass"))
-            summed = moved.unionByName(start.select("seed", F.col("seed").alias("id"), F.lit(1.0 - alpha).alias("mass"))).groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
+            # Written, as it is read twice: for the totals and for the scaling.
+            summed = written(moved.unionByName(start.select("seed", F.col("seed").alias("id"), F.lit(1.0 - alpha).alias("mass"))).groupBy("seed", "id").agg(F.sum("mass").alias("mass")))
             total = summed.groupBy("seed").agg(F.sum("mass").alias("t"))
             now = summed.join(total, "seed").select("seed", "id", F.when(F.col("t") > 1e-30, F.col("mass") / F.col("t")).otherwise(F.col("mass")).alias("mass"))
-            if n % 3 == 2:
-                now = written(now)
         return now
 
     def query_of(self, ids: list[int], edges: list[tuple[int, int]] | None = None) -> Query:

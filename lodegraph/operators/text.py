@@ -20,7 +20,7 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams
     Terms in fewer than min_df documents or over the share max_df go; of the
     rest the max_features most frequent stay, ties by term.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     base = docs.select(F.col(id_col).alias("id"), words.alias("w"))
     terms = F.col("w")
     for g in range(2, grams + 1):

@@ -18,6 +18,7 @@ from ..functions.vectors import norm, normalized
 from ..operators import export, match, ranked
 from ..operators import text as ops
 from ..operators.graph import Graph, undirected
+from ..session import written
 from .query import SHAPES, Query
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def data_graph(spark: SparkSession, sf_dir: str) -> Graph:
     line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % n).alias("p")).distinct()
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p").alias("dst"))
     pairs = line.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("p").alias("src"), "dst")
-    return Graph(v, undirected(pairs))
+    return Graph(v, written(undirected(pairs)))  # every operator reads the edges several times
 
 
 def shape_query(graph: Graph, shape: str) -> Query:
