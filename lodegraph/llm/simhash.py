@@ -72,12 +72,19 @@ def linked(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
         return i
 
     def compare(some: np.ndarray) -> None:
-        for at in range(0, len(some), 256):
-            near = np.bitwise_count(fps[some[at : at + 256], None] ^ fps[some][None, :]) <= bits
-            for a, b in zip(*np.nonzero(near), strict=True):
-                a, b = find(int(some[at + a])), find(int(some[b]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+        # Each row is looked at once, against those that no earlier one has reached.
+        while len(some) > 1:
+            head, reached, some = int(some[0]), [int(some[0])], some[1:]
+            while reached and len(some):
+                near = np.bitwise_count(fps[some] ^ fps[reached.pop()]) <= bits
+                if near.any():
+                    got = some[near].tolist()
+                    some = some[~near]
+                    reached += got
+                    for b in got:
+                        a, b = find(head), find(b)
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
 
     def split(some: np.ndarray, bytes_left: tuple[int, ...]) -> None:
         if len(some) <= DIRECT or len(bytes_left) <= bits:
