@@ -8,8 +8,12 @@ and symbols that a longer context has seen are excluded from the shorter one's
 counts; below order 0 all of 257 symbols that are left are alike. As the trie is
 fixed while scoring, escapes and exclusions are summed once for each context.
 
-The trie's counts are over all training documents. Like other PPM models it has
-a memory limit: each order keeps its ``NODES`` most frequent entries.
+The trie is whole and never in one place. Documents are read in blocks of
+``BLOCK`` symbols; each block gives its distinct codes (a symbol with its
+context) with their training counts. Contexts of less than ``BASE`` symbols are
+sent to all tasks (at most 257**BASE entries, whatever the corpus); longer ones
+are dealt by their newest ``BASE`` symbols, so that a task has all that its
+contexts escape to. The probabilities return to the blocks by joins.
 
 Beside it stands a unigram score. Counts of the ``HOT`` most frequent tokens are
 sent to the tasks (a bounded table); other tokens are joined to their counts.
@@ -27,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, table
 
-ORDER, NODES, HOT = 5, 1_000_000, 200_000
+ORDER, BASE, HOT = 5, 3, 200_000
+#: A block ends with the text that brings it to so many symbols, or so many distinct codes.
+BLOCK, BLOCK_CODES = 1 << 24, 1_000_000
 SYMBOLS, END = 257, 257  # bytes are symbols 1 to 256; 0 fills the context before a text
 _BITS = np.uint64(9)
-#: Symbols in one go of the scorer, and entries of its memo.
-_CHUNK, _MEMO = 1 << 21, 1 << 20
+#: Symbols in one go; rows of the trie in one go; bits of a block's lookup table.
+_CHUNK, _ROWS, _SLOTS = 1 << 21, 500_000, 21
 
 
 def tokens(text: str) -> list[bytes]:
@@ -58,12 +65,22 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     return code, starts[:-1]
 
 
+def mask(k: int) -> np.uint64:
+    """The newest k symbols of a code."""
+    return np.uint64((1 << (9 * k)) - 1)
+
+
+def shortened(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the codes' newest k symbols."""
+    short, back = np.unique(codes & mask(k), return_inverse=True)
+    return short, np.bincount(back, n, len(short))
+
+
 class Trie:
     """Sums for each context; tables are sorted arrays, one set for each order."""
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         """counts: for each order k from 0, (codes of k + 1 symbols, counts)."""
-        self.order = order
         self.gram: list[np.ndarray] = []
         self.log: list[np.ndarray] = []
         self.context: list[np.ndarray] = []
@@ -71,49 +88,45 @@ class Trie:
         self.norm: list[np.ndarray] = []
         self.under: list[np.ndarray] = []  # log of the norm of the next shorter context, under exclusion
         self.path: list[np.ndarray] = []  # sum of log escapes from the next shorter context down, under exclusion
-        below: tuple | None = None
-        for k, (codes, n) in enumerate(counts):
-            by = np.argsort(codes, kind="stable")
-            codes, n = codes[by], n[by].astype(np.float64)
-            suffix = np.zeros(len(codes), np.int64)
-            if k:
-                short = codes & np.uint64((1 << (9 * k)) - 1)
-                suffix = np.searchsorted(below[0], short)
-                suffix = np.minimum(suffix, max(len(below[0]) - 1, 0))
-                keep = (below[0][suffix] == short) if len(below[0]) else np.zeros(len(codes), bool)
-                codes, n, suffix = codes[keep], n[keep], suffix[keep]
-            context, first = np.unique(codes >> _BITS, return_index=True)
-            sums = lambda x, first=first: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-            total, distinct = sums(n), sums(np.ones(len(n)))
-            self.gram.append(codes)
-            self.log.append(np.log(n))
-            self.context.append(context)
-            self.norm.append(np.log(total + distinct))
-            self.escape.append(np.log(distinct) - self.norm[-1])
-            if k:
-                up = np.searchsorted(self.context[k - 1], context & np.uint64((1 << (9 * (k - 1))) - 1))
-                left_n = below[2][up] - sums(below[1][suffix])
-                left_d = below[3][up] - distinct
-                with np.errstate(divide="ignore"):
-                    under = np.where(left_d > 0, np.log(left_n + left_d), 0.0)
-                    own = np.where(left_d > 0, np.log(left_d) - under, 0.0)
-                self.under.append(under)
-                self.path.append(own + (self.path[k - 1][up] if k > 1 else 0.0))
-            else:
-                self.under.append(np.zeros(len(context)))
-                self.path.append(np.zeros(len(context)))
-            below = (codes, n, total, distinct)
+        self.below: tuple | None = None
+        for codes, n in counts:
+            self._add(codes, n)
         self.rest = math.log(max(1, SYMBOLS - len(self.gram[0])))
-        self.memo_key = np.full(_MEMO, np.iinfo(np.uint64).max, np.uint64)
-        self.memo_log = np.zeros(_MEMO)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("memo")}
+    def longer(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+        """This trie with further orders; all that they escape to must be known."""
+        out = Trie.__new__(Trie)
+        out.__dict__ |= {k: list(v) if isinstance(v, list) else v for k, v in self.__dict__.items()}
+        for codes, n in counts:
+            out._add(codes, n)
+        return out
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.memo_key = np.full(_MEMO, np.iinfo(np.uint64).max, np.uint64)
-        self.memo_log = np.zeros(_MEMO)
+    def _add(self, codes: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.gram)
+        by = np.argsort(codes, kind="stable")
+        codes, n = codes[by], n[by].astype(np.float64)
+        context, first = np.unique(codes >> _BITS, return_index=True)
+        sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+        total, distinct = sums(n), sums(np.ones(len(n)))
+        self.gram.append(codes)
+        self.log.append(np.log(n))
+        self.context.append(context)
+        self.norm.append(np.log(total + distinct))
+        self.escape.append(np.log(distinct) - self.norm[-1])
+        if k:
+            suffix = np.searchsorted(self.below[0], codes & mask(k))
+            up = np.searchsorted(self.context[k - 1], context & mask(k - 1))
+            left_n = self.below[2][up] - sums(self.below[1][suffix])
+            left_d = self.below[3][up] - distinct
+            with np.errstate(divide="ignore"):
+                under = np.where(left_d > 0, np.log(left_n + left_d), 0.0)
+                own = np.where(left_d > 0, np.log(left_d) - under, 0.0)
+            self.under.append(under)
+            self.path.append(own + (self.path[k - 1][up] if k > 1 else 0.0))
+        else:
+            self.under.append(np.zeros(len(context)))
+            self.path.append(np.zeros(len(context)))
+        self.below = (codes, n, total, distinct)
 
     @staticmethod
     def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -125,14 +138,13 @@ class Trie:
 
     def log_of(self, code: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each newest symbol after its context."""
-        mask = lambda k: np.uint64((1 << (9 * k)) - 1)
         longest = np.full(len(code), -1)
         found = np.full(len(code), -1)
         top = np.zeros(len(code))
         out = np.zeros(len(code))
         above = np.zeros(len(code))  # path and norm of the context one longer than the one that is looked at
         over = np.zeros(len(code))
-        for k in range(self.order, -1, -1):
+        for k in range(len(self.gram) - 1, -1, -1):
             context = self._find(self.context[k], (code >> _BITS) & mask(k))
             gram = self._find(self.gram[k], code & mask(k + 1))
             new = (context >= 0) & (longest < 0)
@@ -151,22 +163,6 @@ class Trie:
         out[none] = np.where(longest[none] >= 0, top[none], 0.0) - self.rest
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        code, starts = grams(texts, self.order)
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        missing = self.memo_key[slot] != code
-        out = self.memo_log[slot]
-        if missing.any():
-            new, where = np.unique(code[missing], return_inverse=True)
-            log = self.log_of(new)
-            out[missing] = log[where]
-            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-            self.memo_key[at], self.memo_log[at] = new, log
-            wrong = self.memo_key[at] != new  # two new codes of one slot: the later stands with its own value
-            self.memo_key[at[wrong]] = np.iinfo(np.uint64).max
-        return np.add.reduceat(out, starts) / math.log(10)
-
 
 def chunks(texts: list[bytes]) -> Iterator[slice]:
     at = size = 0
@@ -179,25 +175,104 @@ def chunks(texts: list[bytes]) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, nodes: int = NODES) -> tuple[Trie, DataFrame]:
-    """(trie, token counts) of all of docs; the counts are a table (token, c)."""
-    d = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
+class Lookup:
+    """Log probabilities of the codes of a block, by sorted codes with a table of recent places before them."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
+        self.place = np.zeros(1 << _SLOTS, np.int32)
+        self.place[self._slots(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    @staticmethod
+    def _slots(codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text."""
+        code, starts = grams(texts)
+        at = self.place[self._slots(code)]
+        wrong = np.flatnonzero(self.codes[at] != code)
+        if len(wrong):
+            at[wrong] = np.minimum(np.searchsorted(self.codes, code[wrong]), len(self.codes) - 1)
+            if (self.codes[at[wrong]] != code[wrong]).any():
+                raise RuntimeError("a block lacks codes of its own texts")
+        return np.add.reduceat(self.logs[at], starts) / math.log(10)
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, extra: dict[str, Column]) -> DataFrame:
+    """A row for each document (block, i, x..., t: its words in bytes, train), and a row for each distinct code of a block (block, code, n: its count in training documents)."""
+    d = docs.select(F.coalesce(text_col, F.lit("")).alias("t"), F.coalesce(train, F.lit(False)).alias("train"), F.col(id_col).alias("i"), *[c.alias(k) for k, c in extra.items()])
+    kept = d.schema.names[2:]
+    schema = "block long, t binary, train boolean, code long, n long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[2:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        codes, ns, size, kinds = np.zeros(0, np.uint64), np.zeros(0), 0, None
+        names = ["block", "t", "train", "code", "n", *kept]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(codes), 100_000):
+                c, n = codes[at : at + 100_000], ns[at : at + 100_000]
+                m = len(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.nulls(m, k) for k in kinds)], names)
 
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
+            kinds = [c.type for c in batch.columns[2:]]
             texts = [b" ".join(tokens(t)) for t in batch.column(0).to_pylist()]
+            learn = batch.column(1).to_numpy(zero_copy_only=False)
             for part in chunks(texts):
-                c, n = np.unique(grams(texts[part], order)[0], return_counts=True)
-                codes, back = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                ns = np.bincount(back, np.concatenate([ns, n]), len(codes)).astype(np.int64)
-                if len(codes) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(ns)], ["code", "n"])
-                    codes, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for at in range(0, len(codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 100_000].view(np.int64)), pa.array(ns[at : at + 100_000])], ["code", "n"])
-
-    def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                some, m = texts[part], part.stop - part.start
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(some, pa.binary()), pa.array(learn[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *(c.slice(part.start, m) for c in batch.columns[2:])], names)
+                new, starts = grams(some)
+                weight = np.repeat(learn[part], np.diff(np.r_[starts, len(new)]))
+                new, back = np.unique(new, return_inverse=True)
+                n = np.bincount(back, weight, len(new))
+                size += len(weight)
+                codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                ns = np.bincount(back, np.concatenate([ns, n]), len(codes))
+                if size >= BLOCK or len(codes) >= BLOCK_CODES:
+                    yield from told()
+                    block, codes, ns, size = block + 1, np.zeros(0, np.uint64), np.zeros(0), 0
+        yield from told()
+
+    return materialize(d.mapInArrow(run, schema))
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(code, log) of every row of counts (code, n): the natural log of its newest symbol's probability after its context; n counts the training documents."""
+    short = counts.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(int(mask(BASE)))).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    codes, n = short.column("code").to_numpy().view(np.uint64), short.column("n").to_numpy()
+    base = counts.sparkSession.sparkContext.broadcast(Trie([shortened(codes, n, k + 1) for k in range(BASE)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def told(g: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            known = n > 0
+            trie = base.value.longer([shortened(codes[known], n[known], k + 1) for k in range(BASE, ORDER + 1)])
+            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(trie.log_of(codes))], ["code", "log"])
+
+        for batch in batches:
+            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()])
+            size += batch.num_rows
+            if size >= _ROWS:
+                g, codes, n = (np.concatenate(c) for c in zip(*held, strict=True))
+                end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                if end:
+                    yield told(g[:end], codes[:end], n[:end])
+                held, size = [[g[end:], codes[end:], n[end:]]], len(g) - end
+        if size:
+            yield told(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    dealt = counts.select(F.shiftright("code", 9).bitwiseAND(F.lit(int(mask(BASE)))).alias("g"), "code", "n")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "code long, log double")
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(token, c): how often each word, and the end, stands in column t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter[bytes] = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -208,64 +283,80 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, nodes: in
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                own.update(tokens(t))
+                own.update(t.split())
                 own[b""] += 1  # the end
             if len(own) > 400_000:
                 yield from told()
         yield from told()
 
-    full = materialize(d.mapInArrow(count_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    counts = []
-    for k in range(order + 1):
-        own = full.groupBy(F.col("code").bitwiseAND(F.lit((1 << (9 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        got = own.orderBy(F.desc("n"), "code").limit(nodes).toArrow()
-        counts.append((got.column("code").to_numpy().view(np.uint64), got.column("n").to_numpy()))
-    words = materialize(d.mapInArrow(count_tokens, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")))
-    return Trie(counts, order), words
+    return materialize(texts.select("t").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")))
 
 
-def score(docs: DataFrame, trie: Trie, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, F.Column] | None = None, hot: int = HOT) -> DataFrame:
-    """(id, extra columns, n_tokens, n_known, train_tokens, base_score, score) of every text."""
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, hot: int = HOT) -> DataFrame:
+    """(id, extra columns, n_tokens, n_known, train_tokens, base_score, score) of every text, learning from the rows where train holds."""
     spark = docs.sparkSession
+    extra = extra or {}
+    own_names = {name: f"x{n}" for n, name in enumerate(extra)}
+    both = blocks(docs, id_col, text_col, train, {own_names[k]: c for k, c in extra.items()})
+    texts = both.where(F.col("t").isNotNull())
+    codes = both.where(F.col("code").isNotNull()).select("block", "code", "n")
+    words = token_counts(texts.where("train"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bottom = math.log10(total + 0.5 * (distinct + 1))
     top = words.orderBy(F.desc("c"), "token").limit(hot).toArrow()
-    sent = spark.sparkContext.broadcast((trie, dict(zip(top.column("token").to_pylist(), (np.log10(top.column("c").to_numpy() + 0.5) - bottom).tolist(), strict=True))))
-    extra = extra or {}
-    kind = docs.schema[id_col].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), (np.log10(top.column("c").to_numpy() + 0.5) - bottom).tolist(), strict=True)))
+    counts = materialize(codes.groupBy("code").agg(F.sum("n").alias("n")))
+    told = codes.select("block", "code").join(probabilities(counts), "code")
+    kept = ["i", *own_names.values()]
+    rows = texts.select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("log"), "t", *kept)
+    rows = rows.unionByName(told.select("block", "code", "log"), allowMissingColumns=True)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = sent.value
+        known = sent.value
         get, end = known.get, known.get(b"")
+        held: list[list[np.ndarray]] = []
+        lookup = None
         for batch in batches:
-            split = [tokens(t) for t in batch.column(1).to_pylist()]
-            joined = [b" ".join(w) for w in split]
-            scores = np.concatenate([trie.scores(joined[part]) for part in chunks(joined)]) if joined else []
-            base, n_known, n_tokens, rare = [], [], [], []
-            for w in split:
-                logs = [*map(get, w), end]
-                n_tokens.append(len(logs))
-                left = Counter([t for t, x in zip([*w, b""], logs, strict=True) if x is None]) if None in logs else {}
-                if left:
-                    logs = [x for x in logs if x is not None]
-                base.append(float(sum(logs)))
-                n_known.append(len(logs))
-                rare.append([{"token": t, "n": n} for t, n in left.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens), pa.array(n_known), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))), *batch.columns[2:]], [*"inkbsr", *batch.schema.names[2:]])
-
-    kinds = docs.select(*[c.alias(k) for k, c in extra.items()]).schema.simpleString()[7:-1] if extra else ""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*[c.alias(k) for k, c in extra.items()]).schema) if kinds else ""
-    first = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")), *[c.alias(k) for k, c in extra.items()])
-    first = first.mapInArrow(run, f"i {kind}, n long, k long, b double, s double, r array<struct<token: binary, n: long>>" + (f", {kinds}" if kinds else ""))
+            is_text = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(is_text[1:] != is_text[:-1]) + 1).tolist(), batch.num_rows]
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if at == to:
+                    continue
+                some = batch.slice(at, to - at)
+                if not is_text[at]:
+                    held.append([some.column(1).to_numpy().view(np.uint64), some.column(2).to_numpy()])
+                    continue
+                if held:  # the first text behind a block's codes
+                    c, logs = (np.concatenate(x) for x in zip(*held, strict=True))
+                    by = np.argsort(c)
+                    lookup, held = Lookup(c[by], logs[by]), []
+                joined = some.column(3).to_pylist()
+                scores = np.concatenate([lookup.scores(joined[part]) for part in chunks(joined)])
+                base, n_known, n_tokens, rare = [], [], [], []
+                for t in joined:
+                    w = t.split()
+                    logs = [*map(get, w), end]
+                    n_tokens.append(len(logs))
+                    left = Counter([t for t, x in zip([*w, b""], logs, strict=True) if x is None]) if None in logs else {}
+                    if left:
+                        logs = [x for x in logs if x is not None]
+                    base.append(float(sum(logs)))
+                    n_known.append(len(logs))
+                    rare.append([{"token": t, "n": n} for t, n in left.items()])
+                yield pa.RecordBatch.from_arrays([pa.array(n_tokens), pa.array(n_known), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))), *some.columns[4:]], [*"nkbsr", *kept])
+
+    # A block's codes stand before its texts.
+    first = rows.repartition("block").sortWithinPartitions("block", F.col("t").isNotNull()).select("block", "code", "log", "t", *kept)
+    first = first.mapInArrow(run, f"n long, k long, b double, s double, r array<struct<token: binary, n: long>>, {kinds}")
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.where(F.size("r") > 0).select("row", F.explode("r").alias("x")).select("row", "x.token", F.col("x.n").alias("m"))
-    told = rare.join(words, "token", "left").select("row", F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("more"), (F.col("m") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - bottom)).alias("x"))
-    told = told.groupBy("row").agg(F.sum("more").alias("more"), F.sum("x").alias("x"))
-    out = first.drop("r").join(told, "row", "left")
-    return out.select(F.col("i").alias(id_col), *extra, F.col("n").alias("n_tokens"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("b") + F.coalesce("x", F.lit(0.0))).alias("base_score"), F.col("s").alias("score"))
+    more = rare.join(words, "token", "left").select("row", F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("more"), (F.col("m") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - bottom)).alias("y"))
+    more = more.groupBy("row").agg(F.sum("more").alias("more"), F.sum("y").alias("y"))
+    out = first.drop("r").join(more, "row", "left")
+    return out.select(F.col("i").alias(id_col), *[F.col(x).alias(k) for k, x in own_names.items()], F.col("n").alias("n_tokens"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("b") + F.coalesce("y", F.lit(0.0))).alias("base_score"), F.col("s").alias("score"))
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    trie, words = train(docs.where(crc_mod("doc_id", 5) != 1))
-    return score(docs, trie, words, extra={"held_out": crc_mod("doc_id", 5) == 1})
+    held_out = crc_mod("doc_id", 5) == 1
+    return score(table(spark, sf_dir, "documents"), ~held_out, extra={"held_out": held_out})

@@ -128,13 +128,15 @@ def test_simhash_links_meet(spark):
     assert {frozenset(r) for r in got} >= {frozenset((5, 5 ^ (1 << 40)))}
 
 
-def test_ppm_brute_force():
+@pytest.mark.parametrize("block,rows", [(1 << 24, 500_000), (300, 40)])
+def test_ppm_brute_force(spark, monkeypatch, block, rows):
+    monkeypatch.setattr(ppm, "BLOCK", block)
+    monkeypatch.setattr(ppm, "_ROWS", rows)
+    table = [(n, t, True, 1) for n, t in enumerate(TEXTS)] + [(99, "Zebra  cat", False, 1), (None, "the cat", None, 1)]
+    d = spark.createDataFrame(table, "doc_id long, text string, train boolean, code int")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(d, d["train"]).collect()}
+    assert len(got) == len(table)
     texts = [b" ".join(ppm.tokens(t or "")) for t in TEXTS]
-    code, _ = ppm.grams(texts)
-    counts = []
-    for k in range(ppm.ORDER + 1):
-        counts.append(np.unique(code & np.uint64((1 << 9 * (k + 1)) - 1), return_counts=True))
-    trie = ppm.Trie(counts)
     seen = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
     line = lambda t: [0] * ppm.ORDER + [b + 1 for b in t] + [257]
     for t in texts:
@@ -155,15 +157,15 @@ def test_ppm_brute_force():
                 gone |= set(c)
         return out - math.log(257 - len(seen[0][()]))
 
-    for t in [*texts, b"zebra cat"]:
+    for i, t in [*enumerate(texts), (99, b"zebra cat"), (None, b"the cat")]:
         s = line(t)
-        assert math.isclose(sum(log(s, i) for i in range(ppm.ORDER, len(s))) / math.log(10), trie.scores([t])[0], rel_tol=1e-9)
+        assert math.isclose(sum(log(s, j) for j in range(ppm.ORDER, len(s))) / math.log(10), got[i], rel_tol=1e-9)
 
 
 def test_ppm_rare_tokens_join(docs):
-    trie, words = ppm.train(docs)
-    few, all_hot = ({(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in ppm.score(docs, trie, words, hot=h).collect()} for h in (1, 1000))
+    few, all_hot = ({(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in ppm.score(docs, docs["doc_id"] != 2, hot=h).collect()} for h in (1, 1000))
     assert few == all_hot
+    assert all(r["score"] < 0 and r["train_tokens"] == 0 for r in ppm.score(docs, docs["doc_id"] < -1).collect()) and not ppm.score(docs.limit(0), docs["doc_id"] > 0).collect()
 
 
 def test_spans(spark):
