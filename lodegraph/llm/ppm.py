@@ -207,10 +207,21 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, extra: di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        codes, ns, size, kinds = np.zeros(0, np.uint64), np.zeros(0), 0, None
+        apart: list[tuple[np.ndarray, np.ndarray]] = []  # sorted codes and counts, not yet summed
+        size, kinds = 0, None
         names = ["block", "t", "train", "code", "n", *kept]
 
+        def merge() -> None:
+            nonlocal apart
+            codes, ns = (np.concatenate(x) for x in zip(*apart, strict=True))
+            codes, back = np.unique(codes, return_inverse=True)
+            apart = [(codes, np.bincount(back, ns, len(codes)))]
+
         def told() -> Iterator[pa.RecordBatch]:
+            if not apart:
+                return
+            merge()
+            codes, ns = apart[0]
             for at in range(0, len(codes), 100_000):
                 c, n = codes[at : at + 100_000], ns[at : at + 100_000]
                 m = len(c)
@@ -224,15 +235,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, extra: di
                 some, m = texts[part], part.stop - part.start
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(some, pa.binary()), pa.array(learn[part]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *(c.slice(part.start, m) for c in batch.columns[2:])], names)
                 new, starts = grams(some)
-                weight = np.repeat(learn[part], np.diff(np.r_[starts, len(new)]))
-                new, back = np.unique(new, return_inverse=True)
-                n = np.bincount(back, weight, len(new))
-                size += len(weight)
-                codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                ns = np.bincount(back, np.concatenate([ns, n]), len(codes))
-                if size >= BLOCK or len(codes) >= BLOCK_CODES:
+                size += len(new)
+                learned = np.repeat(learn[part], np.diff(np.r_[starts, len(new)]))
+                apart += [np.unique(new[learned], return_counts=True), (other := np.unique(new[~learned]), np.zeros(len(other)))]
+                if size >= BLOCK or sum(len(c) for c, _ in apart) >= 2 * BLOCK_CODES:
+                    merge()
+                if size >= BLOCK or len(apart[0][0]) >= BLOCK_CODES:
                     yield from told()
-                    block, codes, ns, size = block + 1, np.zeros(0, np.uint64), np.zeros(0), 0
+                    block, apart, size = block + 1, [], 0
         yield from told()
 
     return materialize(d.mapInArrow(run, schema))
