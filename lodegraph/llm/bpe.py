@@ -25,11 +25,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Texts over this many code points go through leaves in rows of their own.
 LONG_TEXT, LEAF = 65_536, 16_384
@@ -241,11 +242,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     names = ["id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
 
     def shaped(got: tuple[str, str, int]) -> tuple:
-        return (got[2], _sha(got[0]), _sha(got[1])) if digests else (got[2], [int(i) for i in got[0].split()], got[1])
+        return (got[2], _sha(got[0]), _sha(got[1])) if digests else (got[2], np.fromstring(got[0], np.int32, sep=" "), got[1])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [shaped(encoded(t, p)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows], values[n]) for n in range(3))], names)
 
@@ -258,7 +259,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Encode each leaf; what it holds travels as its pieces' ids."""
         p = pieces(path)
-        for batch in batches:
+        for batch in slices(batches, 3):
             texts = batch.column(3).to_pylist()
             coded = ["\n".join(f"{g[0][1:]}\t{g[1][1:]}" for g in Side(t, p).got) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded)], ["row", "id", "n", "text", "coded"])

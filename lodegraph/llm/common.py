@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,16 @@ def crc_mod(column: str, n: int) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batches whose texts hold ``most`` bytes together, or one row; what a task makes of them is bounded alike."""
+    for batch in batches:
+        start = held = 0
+        for n, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if n > start and held + size > most:
+                yield batch.slice(start, n - start)
+                start, held = n, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)

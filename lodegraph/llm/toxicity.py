@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import crc_mod, materialize, slices, table
 from .winnow import gram_hashes
 
 GRAM, SAMPLE, TERMS, LEAST_CHI2, LEAST_DF, LEAST_LIFT = 5, 20_000, 1024, 25.0, 3, 5.0
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = materialize(d.join(F.broadcast(known), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y")))
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             parts: list[list[np.ndarray]] = [[], []]
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts[y > 0].append(np.unique(gram_hashes(t.lower(), GRAM)))
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, 0):
             for t in batch.column(0).to_pylist():
                 df[terms.counts(t)[0]] += 1
                 n += 1
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in range(size)])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             got = [terms.counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([c for _, c in got], pa.list_(pa.int64()))], ["id", "y", "t", "c"])
 
