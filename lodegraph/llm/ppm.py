@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, table
+from .common import crc_mod, materialize, slices, table
 
 ORDER, BASE, HOT = 5, 3, 200_000
 #: A block ends with the text that brings it to so many symbols, or so many distinct codes.
@@ -227,7 +227,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, extra: di
                 m = len(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.bool_()), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.nulls(m, k) for k in kinds)], names)
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             kinds = [c.type for c in batch.columns[2:]]
             texts = [b" ".join(tokens(t)) for t in batch.column(0).to_pylist()]
             learn = batch.column(1).to_numpy(zero_copy_only=False)
@@ -245,7 +245,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, extra: di
                     block, apart, size = block + 1, [], 0
         yield from told()
 
-    return materialize(d.mapInArrow(run, schema))
+    return materialize(d.mapInArrow(run, schema), "zstd")
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     bottom = math.log10(total + 0.5 * (distinct + 1))
     top = words.orderBy(F.desc("c"), "token").limit(hot).toArrow()
     sent = spark.sparkContext.broadcast(dict(zip(top.column("token").to_pylist(), (np.log10(top.column("c").to_numpy() + 0.5) - bottom).tolist(), strict=True)))
-    counts = materialize(codes.groupBy("code").agg(F.sum("n").alias("n")))
+    counts = materialize(codes.groupBy("code").agg(F.sum("n").alias("n")), "zstd")
     told = codes.select("block", "code").join(probabilities(counts), "code")
     kept = ["i", *own_names.values()]
     rows = texts.select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("log"), "t", *kept)
