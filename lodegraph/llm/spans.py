@@ -3,10 +3,16 @@
 A text is cut into sentences; a span is a run of consecutive sentences, from
 every sentence forward and to every sentence back: three or more with at least
 ``LEAST_WORDS`` words, or fewer that hold ``MANY_WORDS`` words. Spans are hashed
-(128 bits) in lower case with single spaces, and joined over all documents. All
+(96 bits) in lower case with single spaces, and joined over all documents. All
 occurrences of a span but the first, by ascending id and place, are repeats, and
-each sentence that a repeat covers is removed. Every whole sentence of a
-repeated passage of ``MANY_WORDS`` words or more is covered.
+each sentence that a repeat covers is removed.
+
+A passage may begin and end in mid-sentence. So windows of ``MANY_WORDS`` words
+are hashed as well, cut sentences at their ends included: one at every sentence
+start, one every ``STEP`` words back from it, and one up to every sentence end.
+Any ``STEP`` neighbouring windows of a passage hold one of these, so in a
+repeated passage of over 50 words each whole sentence is covered that is whole
+in both places.
 
 Occurrences of a span within a task are settled there, so that a passage in a
 third of all rows is dealt as a row of each task. Defined results: a null text
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAST, LEAST_WORDS, MANY_WORDS = 3, 20, 40
+#: A passage of 51 words holds 12 windows of 40.
+STEP = 51 - MANY_WORDS + 1
 _END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
 #: Spans that a task holds before it settles them.
 _HELD = 1_000_000
@@ -66,17 +76,42 @@ def runs(words: list[int], least: int = LEAST, least_words: int = LEAST_WORDS, m
     return out
 
 
+def windows(words: list[int], many: int = MANY_WORDS, step: int = STEP) -> list[tuple[int, int, int]]:
+    """(first word, first sentence, last sentence) of the windows of ``many`` words that hold a whole sentence, or several."""
+    starts = [0, *accumulate(words)]
+    total, at = starts[-1], set()
+    for i, n in enumerate(words):
+        if n < many:
+            # Further back, the sentence before has windows of its own.
+            at.update(range(starts[i], starts[max(i - 1, 0)], -step), (starts[i], starts[i + 1] - many))
+    out = []
+    for x in at:
+        if 0 <= x <= total - many:
+            i, j = bisect_left(starts, x), bisect_right(starts, x + many) - 2
+            if i <= j and starts[j + 1] > starts[i]:
+                out.append((x, i, j))
+    return out
+
+
 def _occurrences(texts: list[str]) -> Iterator[tuple[int, bytes, int, int]]:
     for k, t in enumerate(texts):
         own = sentences(t)
-        for i, j in runs([s[3] for s in own]):
+        sizes = [s[3] for s in own]
+        for i, j in runs(sizes):
+            if i < j and sum(sizes[i : j + 1]) > MANY_WORDS + STEP - 2:
+                continue  # its sentences have windows or are spans alone
             yield k, xxhash.xxh3_128_digest(b"\0".join([s[2] for s in own[i : j + 1]])), i, j
+        if sum(sizes) >= MANY_WORDS:
+            line = b" ".join([s[2] for s in own if s[3]])
+            at = [0, *(np.flatnonzero(np.frombuffer(line, np.uint8) == 32) + 1).tolist(), len(line) + 1]
+            for x, i, j in windows(sizes):
+                yield k, xxhash.xxh3_128_digest(line[at[x] : at[x + MANY_WORDS] - 1], 1), i, j
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed): every document without the sentences that repeats cover."""
     names = ["hi", "lo", "id", "u", "i", "j", "repeat"]
-    schema = "hi long, lo long, id long, u long, i int, j int, repeat boolean"
+    schema = "hi long, lo int, id long, u long, i int, j int, repeat boolean"
 
     def settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Sorted by span and place; whether each repeats the one before it."""
@@ -100,9 +135,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids, sums = some.column(0).to_numpy(zero_copy_only=False), some.column(1).to_numpy()
                 got = list(_occurrences(some.column(2).to_pylist()))
                 if got:
-                    key = np.frombuffer(b"".join([g[1] for g in got]), "<i8").reshape(-1, 2)
+                    key = np.frombuffer(b"".join([g[1] for g in got]), np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
                     k = np.array([g[0] for g in got])
-                    held.append([key[:, 0], key[:, 1], ids[k], sums[k], np.array([g[2] for g in got], np.int32), np.array([g[3] for g in got], np.int32)])
+                    held.append([key["hi"], key["lo"], ids[k], sums[k], np.array([g[2] for g in got], np.int32), np.array([g[3] for g in got], np.int32)])
                     size += len(got)
                 if size >= _HELD:
                     yield from batches_of(*settle([np.concatenate(c) for c in zip(*held, strict=True)]))

@@ -175,6 +175,41 @@ def test_spans(spark):
     assert got[1] == rows[0][1] and got[2].strip() == "Second thing." and got[3] == "" and got[4] == rows[3][1]
 
 
+def test_spans_cut_at_both_ends(spark):
+    # Two whole sentences of 19 words between two cut ones, at each place of the passage; 51 words are common.
+    for a in (1, 5, 8, 12):
+        w = [f"w{k}" for k in range(51)]
+        for k in (a - 1, a + 18, a + 37):
+            w[k] += "."
+        passage = " ".join(w)
+        rows = [(1, f"The first text opens {passage} and closes so."), (2, f"Another one begins with {passage.upper()} then ends otherwise.")]
+        got = {r["doc_id"]: r for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1]["text"] == rows[0][1] and got[2]["n_removed"] == 2
+        assert got[2]["text"] == f"Another one begins with {' '.join(w[:a]).upper()} {' '.join(w[a + 38 :]).upper()} then ends otherwise."
+
+
+def test_spans_windows_meet():
+    r = random.Random(3)
+    for _ in range(300):
+        sizes = [r.randint(1, 30) for _ in range(12)]
+        ends = set(np.cumsum(sizes).tolist())
+        n = sum(sizes)
+        s = r.randint(0, n - 51)
+        e = r.randint(s + 51, n)
+        # The passage [s, e) stands after 3 and 5 other words.
+        got = []
+        for before in (3, 5):
+            inside = sorted(before + x - s for x in ends if s <= x < e)
+            cuts = [0, *inside, before + e - s + 4]
+            if s == 0 or s in ends:
+                cuts = sorted({*cuts, before})
+            got.append({(x - before, i - len([c for c in cuts if c < before]), j - len([c for c in cuts if c < before])) for x, i, j in spans.windows([b - a for a, b in zip(cuts, cuts[1:], strict=False)]) if before <= x and x + 40 <= before + e - s})
+        whole = [(a, b) for a, b in zip([0, *sorted(ends)], sorted(ends), strict=False) if s <= a and b < e and b - a < 40]
+        common = {x for x, _, _ in got[0]} & {x for x, _, _ in got[1]}
+        for a, b in whole:
+            assert any(x + s <= a and b <= x + s + 40 for x in common)
+
+
 def test_decontaminate():
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
