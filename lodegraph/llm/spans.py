@@ -114,10 +114,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "hi long, lo int, id long, u long, i int, j int, repeat boolean"
 
     def settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Sorted by span and place; whether each repeats the one before it."""
+        """Sorted by span and place, each place once; whether each repeats the one before it."""
         hi, lo, i_d, u, i, _ = columns
         order = np.lexsort((i, u, i_d, lo, hi))
         columns = [c[order] for c in columns]
+        own = np.ones(len(order), bool)
+        own[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:5]])
+        columns = [c[own] for c in columns]
+        order = order[own]
         again = np.zeros(len(order), bool)
         again[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
         return columns, again
@@ -150,14 +154,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             hi, lo, i_d, u, i, j = (batch.column(n).to_numpy() for n in range(6))
             again = batch.column(6).to_numpy(zero_copy_only=False).copy()
-            first = ~again
-            h, x, a = hi[first], lo[first], np.zeros(int(first.sum()), bool)
-            a[1:] = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
-            # Rows of one document that are the first place itself, from repeated rows, are no repeats.
-            if len(h):
-                a[0] = last is not None and last == (h[0], x[0])
-                last = (h[-1], x[-1])
-            again[first] = a
+            first = np.flatnonzero(~again)
+            if len(first):
+                h, x = hi[first], lo[first]
+                new = np.r_[last is None or last[:2] != (h[0], x[0]), (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
+                at = np.maximum.accumulate(np.where(new, np.arange(len(first)), -1))
+                # Rows of one document that are the first place itself, from repeated rows, are no repeats.
+                place = [np.where(at < 0, c[first][0] if last is None else last[k], c[first][at]) for k, c in enumerate((i_d, u, i), 2)]
+                again[first] = np.logical_or.reduce([p != c[first] for p, c in zip(place, (i_d, u, i), strict=True)])
+                last = (h[-1], x[-1], *(p[-1] for p in place))
             if again.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[again]) for c in (i_d, u, i, j)], ["id", "u", "i", "j"])
 

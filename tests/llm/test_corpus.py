@@ -188,6 +188,15 @@ def test_spans_cut_at_both_ends(spark):
         assert got[2]["text"] == f"Another one begins with {' '.join(w[:a]).upper()} {' '.join(w[a + 38 :]).upper()} then ends otherwise."
 
 
+def test_spans_repeated_rows(spark):
+    text = lambda p: " ".join(f"{p}{k}" + ("." if k % 9 == 8 else "") for k in range(60)) + "."
+    a, b, c = text("a"), text("b"), text("c")
+    rows = [(5, a), (5, a), (6, f"Own words here. {a}"), (None, b), (None, b), (None, b), (7, c), (None, c), (None, c)]
+    for parts in (1, 9):
+        got = sorted((r["doc_id"] or 99, r["text"].strip()) for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect())
+        assert got == sorted([(5, a), (5, a), (6, "Own words here."), (99, b), (99, b), (99, b), (7, c), (99, ""), (99, "")])
+
+
 def test_spans_windows_meet():
     r = random.Random(3)
     for _ in range(300):
