@@ -110,19 +110,17 @@ def _occurrences(texts: list[str]) -> Iterator[tuple[int, bytes, int, int]]:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed): every document without the sentences that repeats cover."""
-    names = ["hi", "lo", "id", "u", "i", "j", "repeat"]
-    schema = "hi long, lo int, id long, u long, i int, j int, repeat boolean"
+    names = ["hi", "lo", "id", "u", "place", "repeat"]
+    schema = "hi long, lo int, id long, u long, place long, repeat boolean"
 
     def settle(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Sorted by span and place, each place once; whether each repeats the one before it."""
-        hi, lo, i_d, u, i, _ = columns
-        order = np.lexsort((i, u, i_d, lo, hi))
+        order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         own = np.ones(len(order), bool)
-        own[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:5]])
+        own[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (*columns[:4], columns[4] >> 6)])
         columns = [c[own] for c in columns]
-        order = order[own]
-        again = np.zeros(len(order), bool)
+        again = np.zeros(len(columns[0]), bool)
         again[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
         return columns, again
 
@@ -141,7 +139,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if got:
                     key = np.frombuffer(b"".join([g[1] for g in got]), np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
                     k = np.array([g[0] for g in got])
-                    held.append([key["hi"], key["lo"], ids[k], sums[k], np.array([g[2] for g in got], np.int32), np.array([g[3] for g in got], np.int32)])
+                    # A span has 41 sentences at most.
+                    held.append([key["hi"], key["lo"], ids[k], sums[k], np.array([g[2] << 6 | g[3] - g[2] for g in got], np.int64)])
                     size += len(got)
                 if size >= _HELD:
                     yield from batches_of(*settle([np.concatenate(c) for c in zip(*held, strict=True)]))
@@ -152,32 +151,32 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            hi, lo, i_d, u, i, j = (batch.column(n).to_numpy() for n in range(6))
-            again = batch.column(6).to_numpy(zero_copy_only=False).copy()
+            hi, lo, i_d, u, at_i = (batch.column(n).to_numpy() for n in range(5))
+            again = batch.column(5).to_numpy(zero_copy_only=False).copy()
             first = np.flatnonzero(~again)
             if len(first):
                 h, x = hi[first], lo[first]
                 new = np.r_[last is None or last[:2] != (h[0], x[0]), (h[1:] != h[:-1]) | (x[1:] != x[:-1])]
                 at = np.maximum.accumulate(np.where(new, np.arange(len(first)), -1))
                 # Rows of one document that are the first place itself, from repeated rows, are no repeats.
-                place = [np.where(at < 0, c[first][0] if last is None else last[k], c[first][at]) for k, c in enumerate((i_d, u, i), 2)]
-                again[first] = np.logical_or.reduce([p != c[first] for p, c in zip(place, (i_d, u, i), strict=True)])
+                place = [np.where(at < 0, c[first][0] if last is None else last[k], c[first][at]) for k, c in enumerate((i_d, u, at_i >> 6), 2)]
+                again[first] = np.logical_or.reduce([p != c[first] for p, c in zip(place, (i_d, u, at_i >> 6), strict=True)])
                 last = (h[-1], x[-1], *(p[-1] for p in place))
             if again.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[again]) for c in (i_d, u, i, j)], ["id", "u", "i", "j"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[again]) for c in (i_d, u, at_i)], ["id", "u", "place"])
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("u"), F.coalesce(text_col, F.lit("")).alias("t"))
     spans = d.mapInArrow(find, schema)
     # Firsts meet by span, in order; what is settled already goes along anywhere.
-    spans = spans.repartition(F.when(F.col("repeat"), F.xxhash64("id", "u", "i")).otherwise(F.col("hi"))).sortWithinPartitions("repeat", "hi", "lo", "id", "u", "i")
-    cover = spans.mapInArrow(join, "id long, u long, i int, j int").groupBy("id", "u").agg(F.collect_list(F.struct("i", "j")).alias("cover"))
+    spans = spans.repartition(F.when(F.col("repeat"), F.xxhash64("id", "u", "place")).otherwise(F.col("hi"))).sortWithinPartitions("repeat", "hi", "lo", "id", "u", "place")
+    cover = spans.mapInArrow(join, "id long, u long, place long").groupBy("id", "u").agg(F.collect_list("place").alias("cover"))
 
     @F.arrow_udf("struct<text string, n_sentences long, n_removed long>")
     def cut(texts: pa.Array, cover: pa.Array) -> pa.Array:
         out = []
         for t, c in zip(texts.to_pylist(), cover.to_pylist(), strict=True):
             own = sentences(t)
-            gone = {k for x in c or () for k in range(x["i"], x["j"] + 1)}
+            gone = {k for x in c or () for k in range(x >> 6, (x >> 6) + (x & 63) + 1)}
             out.append({"text": "".join(t[s[0] : s[1]] for k, s in enumerate(own) if k not in gone) if gone else t, "n_sentences": len(own), "n_removed": len(gone)})
         return pa.array(out, pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())]))
 
