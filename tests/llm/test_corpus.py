@@ -128,6 +128,16 @@ def test_simhash_links_meet(spark):
     assert {frozenset(r) for r in got} >= {frozenset((5, 5 ^ (1 << 40)))}
 
 
+def test_pipeline_near_duplicates_without_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(2, a), (3, a), (None, a), (None, b), (None, b), (None, c), (4, "own"), (4, "own"), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(2, a), (0, b), (0, c), (4, "own"), (4, "own"), (0, None)], key=str)
+
+
 @pytest.mark.parametrize("block,rows", [(1 << 24, 500_000), (300, 40)])
 def test_ppm_brute_force(spark, monkeypatch, block, rows):
     monkeypatch.setattr(ppm, "BLOCK", block)
