@@ -27,7 +27,7 @@ def _close(opening: str) -> str:
 
 
 def _page(r: random.Random) -> str:
-    """A page; elements of content bear the attribute data-y."""
+    """A page; elements of content bear the attribute data-y, and so does a body that holds the text itself."""
 
     def paragraph() -> str:
         n = r.choice((2, 5, 12, 30, 60, 120))
@@ -93,17 +93,33 @@ def _page(r: random.Random) -> str:
     def form() -> str:
         return f'<form action="/s"><label>{_words(r, 2)}</label><p>{_words(r, r.randint(2, 9))}</p><input name=q></form>'
 
+    def hidden() -> str:
+        o = r.choice(("<noscript>", "<object>", "<svg>", "<template>", "<button>"))
+        return o + r.choice((f"<p>{_words(r, r.randint(3, 40))}</p>", _words(r, r.randint(2, 30)), f"<div><p>{_words(r, 25)}</p></div>")) + _close(o)
+
     o = r.choice(("<article data-y>", "<article data-y>", "<main data-y>", '<div class="content" data-y>', '<div id="main-content" data-y>', '<div class="post-body" data-y>', '<div class="article-text" data-y>', '<div class="entry" data-y>', "<div data-y>", '<section class="story" data-y>', "<main data-y><article data-y>", '<div class="page" data-y><div class="content" data-y>'))
     closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", o)))
     before = [f() for f in (menu, header, advert, notice, side, form) if r.random() < 0.45]
     after = [f() for f in (side, comments, advert, notice, menu, form) if r.random() < 0.35]
     inner_after = [f() for f in (comments, advert, side) if r.random() < 0.12]
+    bare = r.random() < 0.35  # the text stands in the body itself, or in no body at all
+    if bare:
+        o = closing = ""
+        if r.random() < 0.5:
+            before, after, inner_after = before[:1] if r.random() < 0.5 else [], [], []
+    if r.random() < 0.2:
+        inner_after.append(hidden())
+        before += [hidden()] * (r.random() < 0.3)
+    if r.random() < 0.15:
+        after.append(_words(r, r.randint(1, 12)))
     r.shuffle(before)
     r.shuffle(after)
     if r.random() < 0.85:
         after.append(footer())
     head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{_words(r, 5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
     end = "</body></html>" if r.random() < 0.8 else ""
+    if bare:
+        head = head.replace("<body>", "<body data-y>") if r.random() < 0.6 else "<html data-y>"
     return head + "".join(before) + o + body() + "".join(inner_after) + closing + "".join(after) + end
 
 

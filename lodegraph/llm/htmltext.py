@@ -9,10 +9,16 @@ is a half or more are the main text. Weights are those of greatest likelihood
 on labelled pages, by gradient ascent with the same messages; labelled pages
 come from a seeded writer of page layouts in this folder.
 
-Defined results: a null or empty html has the empty text; html without any tag
-is one block of text outside every element, and no content; broken markup and
+Text that stands directly in the body (or outside it, as in html without any
+tag) is cut at block elements, and each stretch is a node of its own, with a
+marginal of its own. What stands in hidden elements (buttons, selects, objects
+and the like) is parsed as any subtree, so one that is never closed ends with
+its parent, but is never main text.
+
+Defined results: a null or empty html has the empty text; broken markup and
 pages cut off anywhere are read as far as they go. Rows that repeat each keep a
-row; the url is passed on as it is.
+row; the url is passed on as it is. Only the columns asked for are read, so
+further columns of any name do no harm; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -26,19 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .htmlpages import labelled_pages
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "iframe")
+HIDDEN = ("head", "noscript", "template", "svg", "math", "select", "button", "object", "canvas", "audio", "video")
+#: Hidden elements that hold no blocks: the start of one ends them.
+_SHUT = ("select", "button")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 KINDS = ("html", "body", "main", "article", "section", "div", "p", "h", "ul", "li", "blockquote", "pre", "table", "cell", "figure", "header", "footer", "nav", "aside", "form", "hidden", "other")
 _KIND = {
     **{k: k for k in ("html", "body", "main", "article", "section", "div", "p", "blockquote", "pre", "table", "figure", "header", "footer", "nav", "aside", "form")},
     **{f"h{n}": "h" for n in range(1, 7)}, "ul": "ul", "ol": "ul", "dl": "ul", "menu": "nav", "li": "li", "dt": "li", "dd": "li",
     "tr": "table", "tbody": "table", "thead": "table", "tfoot": "table", "td": "cell", "th": "cell", "caption": "cell", "figcaption": "figure",
-    "fieldset": "form", "dialog": "aside", "details": "section", "summary": "p", "head": "hidden", **dict.fromkeys(RAW, "hidden"),
+    "fieldset": "form", "dialog": "aside", "details": "section", "summary": "p", **dict.fromkeys((*RAW, *HIDDEN), "hidden"),
 }
 #: Kinds of names in class, id and role.
 NAMES = (
@@ -68,28 +77,47 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.attrs = [-1], ["html"], [""]
         self.blocks: list[tuple[int, str]] = []  # (element, raw text) in page order
-        self.text, self.link, self.children, self.depth = [0], [0], [0], [0]
-        stack, inside, buffer, owner = [0], 0, [], 0
+        self.text, self.link, self.children, self.depth, self.hidden = [0], [0], [0], [0], [False]
+        stack, inside, owner = [0], 0, 0
+        buffer: list[str] = []
+        held = linked = 0  # code points in the buffer, and those of them in links
         pos, end = 0, len(source)
 
+        def node_of(name: str, attrs: str) -> int:
+            self.parent.append(stack[-1])
+            self.children[stack[-1]] += 1
+            self.depth.append(self.depth[stack[-1]] + 1)
+            self.tag.append(name)
+            self.attrs.append(attrs)
+            self.hidden.append(self.hidden[stack[-1]] or name in RAW or name in HIDDEN)
+            self.text.append(0)
+            self.link.append(0)
+            self.children.append(0)
+            return len(self.tag) - 1
+
         def flush() -> None:
-            nonlocal buffer
-            if buffer:
-                raw = "".join(buffer)
-                if raw.strip():
-                    self.blocks.append((owner, raw))
-                buffer = []
+            nonlocal held, linked
+            if not buffer:
+                return
+            raw = "".join(buffer)
+            told = bool(raw) and not raw.isspace()
+            at = node_of("p", "") if told and self.tag[owner] in ("html", "body") else owner
+            self.text[at] += held
+            self.link[at] += linked
+            if told:
+                self.blocks.append((at, raw))
+            buffer.clear()
+            held = linked = 0
 
         def add(at: int, to: int) -> None:
-            nonlocal owner
+            nonlocal owner, held, linked
             if at < to:
                 if not buffer:
                     owner = stack[-1]
                 buffer.append(source[at:to])
-                size = to - at
-                self.text[owner] += size
+                held += to - at
                 if inside:
-                    self.link[owner] += size
+                    linked += to - at
 
         while pos < end:
             m = _TAG.search(source, pos)
@@ -105,7 +133,8 @@ class Page:
                 inside = 0 if closing else 1
                 continue
             if name == "br" or name == "hr":
-                buffer.append(" ")
+                if buffer:
+                    buffer.append(" ")
                 if name == "hr":
                     flush()
                 continue
@@ -130,21 +159,17 @@ class Page:
                         break
                     if self.tag[stack[depth]] not in ("p",):
                         break
+                for depth in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[depth]] in _SHUT:
+                        del stack[depth:]
+                        break
             for other in _CLOSES.get(name, ()):
                 if self.tag[stack[-1]] == other:
                     stack.pop()
-            node = len(self.tag)
-            self.parent.append(stack[-1])
-            self.children[stack[-1]] += 1
-            self.depth.append(self.depth[stack[-1]] + 1)
-            self.tag.append(name)
-            self.attrs.append(m[3])
-            self.text.append(0)
-            self.link.append(0)
-            self.children.append(0)
+            node = node_of(name, m[3])
             if name in RAW:
                 if not m[3].rstrip().endswith("/"):
-                    # What stands in these is not read; nested ones of the same name end together.
+                    # What stands in these is not markup, and is not read.
                     stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
                     pos = stop.end() if stop else end
                 continue
@@ -156,7 +181,7 @@ class Page:
         flush()
 
 
-N_UNARY = len(KINDS) + len(NAMES) + 11
+N_UNARY = len(KINDS) + len(NAMES) + 12
 _place: dict[tuple[str, str], int] = {}
 _rows: list[np.ndarray] = []
 
@@ -212,6 +237,8 @@ class Forest:
         f[:, at + 8] = np.minimum(depth_of, 8) / 8
         f[:, at + 9] = np.log1p(children) / 4
         f[:, at + 10] = (children == 0) & (text == 0)
+        plain = text - link
+        f[:, at + 11] = plain / np.maximum(np.add.reduceat(plain, self.start[:-1]), 1).repeat(sizes) if n else 0
         self.features = f
 
     def marginals(self, w: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +310,7 @@ def main_texts(sources: list[str], w: np.ndarray, pair: np.ndarray) -> list[str]
     for page, start in zip(pages, forest.start, strict=False):
         kept = []
         for node, raw in page.blocks:
-            if node and p[start + node] >= 0.5 and page.tag[node] not in ("html", "body", "head"):
+            if p[start + node] >= 0.5 and not page.hidden[node]:
                 block = " ".join(entities.unescape(raw).split())
                 if block:
                     kept.append(block)
@@ -297,7 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, pair = sent.value
-        for batch in batches:
+        for batch in slices(batches, 2):
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(main_texts(some.column(2).to_pylist(), w, pair), pa.string())], ["id", "url", "text"])
