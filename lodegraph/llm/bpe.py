@@ -8,7 +8,11 @@ side has there, and on the right likewise; then everything outside it stands.
 A single word that no pre-tokenizer splits is treated in the same way on the
 level of merges: halves are merged apart, and a window of tokens around the
 join is merged again until its outer pairs of tokens are pairs that BPE leaves
-as they are when it sees the two alone.
+as they are when it sees the two alone. Such a word may be longer than a leaf:
+a side whose last word is still open carries that word's tokens as what is not
+the end of a word, and two sides are joined by the same window of tokens, so
+what the leaves encoded in parallel is not encoded again. (A long word with
+characters that normalization may compose is encoded again as a whole.)
 
 The pieces between white space are encoded by the tokenizer itself and kept in
 a bounded memo, as they do not depend on what stands around them (the
@@ -74,6 +78,7 @@ class Pieces:
         self.ends = {i for i, t in self.name.items() if self.suffix and t.endswith(self.suffix)}
         # What the pre-tokenizer makes of a text that the normalizer only puts in lower case.
         self.plain = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
+        self.letter = re.compile(r"[a-zß-öø-ÿ]+")
         self.odd = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
         spec_ok = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.direct = spec_ok and self.suffix == "</w>" and spec.get("decoder") is None and "[\\p{L}]+|[\\p{N}]|" in json.dumps(spec.get("pre_tokenizer")).replace("\\\\", "\\")
@@ -131,6 +136,15 @@ class Pieces:
                 return before + mid + after
             i, j = i if ok_left else 2 * i, j if ok_right else 2 * j
 
+    def letters(self, word: bytes) -> str | None:
+        """The symbols of a word of plain letters, which no pre-tokenizer splits and any letter may follow; else None."""
+        if not self.direct:
+            return None
+        text = word.decode("utf-8", "surrogatepass")
+        if self.odd.search(text) or not self.letter.fullmatch(low := text.lower()):
+            return None
+        return "".join(map(self.symbol.__getitem__, low.encode()))
+
     def plain_text(self, text: str) -> tuple[str, str, int] | None:
         """(ids as text, decoded text, number of ids), if the normalizer only puts this text in lower case."""
         if not self.direct or self.odd.search(text) or "<|" in text:
@@ -177,20 +191,54 @@ def leaves(text: str, leaf: int = LEAF) -> list[str]:
 
 
 class Side:
-    """An encoded stretch of text: pieces with their ids, and whether white space stands at its ends."""
+    """An encoded stretch of text: pieces with their ids, whether white space stands at its ends, and the tokens of a long last word that may go on."""
 
     def __init__(self, text: str, p: Pieces):
         raw = text.encode("utf-8", "surrogatepass")
         self.words = raw.split()
         self.open = (bool(raw) and raw[0] not in _SPACE, bool(raw) and raw[-1] not in _SPACE)
-        self.got = [p.piece(w) for w in self.words]
+        self.got = []
+        self.going: list[int] | None = None
+        for n, w in enumerate(self.words):
+            at_end = (n == 0 and self.open[0]) or (n == len(self.words) - 1 and self.open[1])
+            symbols = p.letters(w) if at_end and len(w) > WORD_LEAF else None
+            if symbols is None:
+                self.got.append(p.piece(w))
+                continue
+            cut = len(symbols) // 2
+            left, right = p.tree(symbols[:cut], False), symbols[cut:]
+            self.got.append(p.told(p.joined(left, p.tree(right), True)))
+            if n == len(self.words) - 1 and self.open[1]:
+                self.going = p.joined(left, p.tree(right, False), False)
+
+
+def _word_goes_on(left: Side, right: Side, p: Pieces) -> Side | None:
+    """The two joined by a window of tokens, if one word of letters, long on one side at least, stands across the join."""
+    if not (left.words and right.words and left.open[1] and right.open[0]) or max(len(left.words[-1]), len(right.words[0])) <= WORD_LEAF:
+        return None
+    first = p.letters(right.words[0])
+    going = left.going
+    if going is None and first is not None and len(left.words[-1]) <= WORD_LEAF and (symbols := p.letters(left.words[-1])) is not None:
+        going = p.tree(symbols, False)
+    if first is None or going is None:
+        return None
+    own = [int(i) for i in right.got[0][0].split()]
+    whole = p.told(p.joined(going, own, True))
+    if len(right.words) == 1:
+        right.going = p.joined(going, right.going if right.going is not None else p.tree(first, False), False) if right.open[1] else None
+    right.got = [*left.got[:-1], whole, *right.got[1:]]
+    right.words = [*left.words[:-1], left.words[-1] + right.words[0], *right.words[1:]]
+    right.open = (left.open[0], right.open[1])
+    return right
 
 
 def concatenated(left: Side, right: Side, p: Pieces) -> Side:
-    """Join two neighbours; the window holds one piece of each side and grows until both sides agree."""
+    """Join two neighbours; the window holds one piece of each side, or tokens of a long word, and grows until both sides agree."""
     if not left.words and not left.open[1]:
         right.open = (left.open[0], right.open[1]) if left.open != (False, False) else (False, right.open[1])
         return right
+    if (done := _word_goes_on(left, right, p)) is not None:
+        return done
     n = m = 1
     while True:
         n, m = min(n, len(left.words)), min(m, len(right.words))
@@ -203,6 +251,10 @@ def concatenated(left: Side, right: Side, p: Pieces) -> Side:
         ok_left = not before or (n > 1 and got[0] == left.got[len(left.words) - n])
         ok_right = not after or (m > 1 and got[-1] == right.got[m - 1])
         if ok_left and ok_right:
+            if len(right.words) <= 1:
+                # The last word has become another, or ends before white space.
+                symbols = p.letters(window[-1]) if window and right.open[1] and len(window[-1]) > WORD_LEAF else None
+                right.going = None if symbols is None else p.tree(symbols, False)
             right.words, right.got = before + window + after, left.got[: len(left.words) - n] + got + right.got[m:]
             right.open = (left.open[0], right.open[1])
             return right
@@ -261,16 +313,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         p = pieces(path)
         for batch in slices(batches, 3):
             texts = batch.column(3).to_pylist()
-            coded = ["\n".join(f"{g[0][1:]}\t{g[1][1:]}" for g in Side(t, p).got) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded)], ["row", "id", "n", "text", "coded"])
+            sides = [Side(t, p) for t in texts]
+            coded = ["\n".join(f"{g[0][1:]}\t{g[1][1:]}" for g in s.got) for s in sides]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded), pa.array([s.going for s in sides], pa.list_(pa.int32()))], ["row", "id", "n", "text", "coded", "going"])
 
     def joined(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         p = pieces(path)
         rows = rows.sort_by("n")
         sides = []
-        for t, coded in zip(rows.column("text").to_pylist(), rows.column("coded").to_pylist(), strict=True):
+        for t, coded, going in zip(*(rows.column(c).to_pylist() for c in ("text", "coded", "going")), strict=True):
             if t:
-                sides.append(_side(t, coded))
+                sides.append(_side(t, coded, going))
         while len(sides) > 1:
             sides = [concatenated(sides[n], sides[n + 1], p) if n + 1 < len(sides) else sides[n] for n in range(0, len(sides), 2)]
         got = sides[0].got if sides else []
@@ -280,13 +333,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     near = d.where(F.length("text") <= LONG_TEXT).mapInArrow(short, schema)
     far = d.where(F.length("text") > LONG_TEXT).select(F.concat_ws(":", F.monotonically_increasing_id(), F.xxhash64("text")).alias("row"), "id", "text")
-    far = far.mapInArrow(cut, f"row string, id {kind}, n int, text string").repartition("row", "n").mapInArrow(warm, f"row string, id {kind}, n int, text string, coded string")
+    far = far.mapInArrow(cut, f"row string, id {kind}, n int, text string").repartition("row", "n").mapInArrow(warm, f"row string, id {kind}, n int, text string, coded string, going array<int>")
     far = far.groupBy("row").applyInArrow(joined, schema)
     return near.unionByName(far).withColumnRenamed("id", id_col)
 
 
-def _side(text: str, coded: str) -> Side:
+def _side(text: str, coded: str, going: list[int] | None) -> Side:
     side = Side.__new__(Side)
+    side.going = going
     raw = text.encode("utf-8", "surrogatepass")
     side.words = raw.split()
     side.open = (raw[0] not in _SPACE, raw[-1] not in _SPACE)
