@@ -3,16 +3,19 @@
 Three kinds of base spans are found by their patterns; a fourth, ``key``, holds
 other credential-like values: known prefixes, signed web tokens and mixed runs
 of 32 or more characters. Every value is hashed, and hashes are counted over the
-whole corpus by distinct repositories and owners. A value that several owners
-hold is a widely copied example; one that stays with one owner looks live.
-``key`` spans are reported where they look live. Base spans always stay, with
-their verdict beside them.
-
-Counting is in two steps, by (hash, owner, repository) and by hash, so that a value held
-by a third of all rows is summed before it is dealt; the counts return by a
-salted join. Defined results: a null text counts as empty and has no spans; a
-null owner or repository counts as one unnamed; rows that repeat each keep a
-row, and count once for their repository.
+whole corpus by distinct repositories and distinct owners. A value that
+``COPIED`` owners hold, or ``WIDE`` repositories of whatever owner, is a widely
+copied example; one below both looks live. ``key`` spans are reported where they
+look live. Base spans always stay, with their verdict beside them.
+
+Counts are summed by (hash, owner, repository) before anything is dealt by hash.
+They return by a join in which hashes that hold over ``1 / HOT`` of all spans
+(fewer than ``HOT`` of them, whatever the corpus) are salted. Defined results: a
+null text counts as empty and has no spans; a null owner or repository counts as
+one unnamed; rows that repeat each keep a row, and count once for their
+repository; a repository that several owners name counts once. Only the columns
+asked for are read, so further columns of any name do no harm; an empty table
+has no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 KINDS = ("assign", "access", "hex", "key")
 #: Distinct owners from which a value counts as a widely copied example.
 COPIED = 2
-SALTS = 16
+#: Distinct repositories from which a value of one owner counts so too.
+WIDE = 10
+SALTS, HOT = 64, 1000
 _FLAGS = re.ASCII
 _ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", _FLAGS)
@@ -77,7 +82,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             rows = []
             for t in batch.column(4).to_pylist():
                 base = base_spans(t)
@@ -90,20 +95,23 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repos): in how many distinct owners and repositories each value stands."""
+    """(hash, owners, repos, n): in how many distinct owners and repositories each value stands, and in how many spans."""
     each = found.select("owner", "repo", F.explode("spans.hash").alias("hash"))
-    by_repo = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    by_place = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    return by_place.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"), F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied: int = COPIED) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied: int = COPIED, wide: int = WIDE) -> DataFrame:
     """(id, spans): spans of (kind, start, end, owners, repos, live), by start and then kind; ``key`` spans only where they look live."""
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col))
-    held = ownership(found)
-    salted = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = found.select("row", F.explode("spans").alias("s")).select("row", "s", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    told = each.join(salted, ["hash", "salt"]).select("row", F.struct("s.start", F.col("s.kind").alias("k"), "s.end", "owners", "repos", (F.col("owners") < copied).alias("live")).alias("s"))
+    held = materialize(ownership(found))
+    total = held.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(held.where(F.col("n") * HOT > total).select("hash", F.lit(SALTS).alias("salts")))  # fewer than HOT rows
+    salted = held.join(hot, "hash", "left").select("hash", "owners", "repos", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    each = found.select("row", F.explode("spans").alias("s")).select("row", "s", F.col("s.hash").alias("hash")).join(hot, "hash", "left")
+    each = each.select("row", "s", "hash", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    live = (F.col("owners") < copied) & (F.col("repos") < wide)
+    told = each.join(salted, ["hash", "salt"]).select("row", F.struct("s.start", F.col("s.kind").alias("k"), "s.end", "owners", "repos", live.alias("live")).alias("s"))
     told = told.where((F.col("s.k") < 3) | F.col("s.live")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
     shaped = F.transform("spans", lambda s: F.struct(F.element_at(names, s["k"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["owners"].alias("owners"), s["repos"].alias("repos"), s["live"].alias("live")))
@@ -121,4 +129,4 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != "key")
-    return got.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+    return got.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"))
