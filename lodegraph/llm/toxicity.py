@@ -1,26 +1,35 @@
 """Toxicity by nearest labelled examples.
 
-Terms are runs of ``GRAM`` code points in lower case, chosen where labels of the
-training sample go with them (chi-square, and ``LEAST_LIFT`` times as often in
-toxic texts), weighted (1 + ln tf) * idf with
-document frequencies over all documents. The labelled examples stand in an
-inverted index by blocks of ``BLOCK`` examples; each block knows the largest
-weight that each term has in it. A query bounds every block's cosine by these,
-visits blocks by falling bound, and stops once no block can beat the ``NEAREST``
-best: the neighbours are exact. Votes weigh by distance, a base rate of the
-examples that hold no term votes from distance 1, and a logistic curve fitted
-by leaving each example out makes the vote a probability. The neighbours are
-the evidence.
+Terms are words (runs of letters, digits and _) in lower case, all that the
+labelled examples hold; a text is the vector of (1 + ln tf) * idf over them, with
+document frequencies over all documents. Words that go with the labels should
+weigh more than words of the subject, so each coordinate is stretched by the
+share of the label's variance that its word explains (squared correlation over
+the examples, plus ``FLOOR``, so that no word is without weight). Nearness is the exact cosine
+of the stretched TF-IDF vectors.
+
+The examples stand in an inverted index by blocks of ``BLOCK``: a sparse list of
+(example, weight) for each word of a block, and the largest weight of each list.
+A query bounds every block's cosines by these, reads blocks by falling bound,
+and stops once no block can beat the ``NEAREST`` best: the neighbours are exact.
+Votes weigh by distance, a base rate votes from distance 1, and a logistic curve
+fitted by leaving each example out makes the vote a probability. The neighbours
+are the evidence.
 
 Labels are learned from at most ``SAMPLE`` labelled rows, those of smallest id
-hash. Defined results: a null text counts as empty; a text without any term has
-the base rate's score; without labelled rows, every score is 0.5. Labels that
-contradict each other for one id count as toxic; null labels and ids are left
-out of training. Equal texts have equal scores.
+hash; the index grows with these rows only. Defined results: a null text counts
+as empty; a text without any known word has the base rate's score and no
+evidence; without labelled rows, every score is 0.5. Labels that contradict each
+other for one id, or for equal texts, count as toxic; null labels and ids are
+left out of training. Neighbours of equal cosine go by their place in the index,
+which hangs on contents before ids. Equal texts have equal scores; rows that
+repeat each keep a row. Only the columns asked for are read; an empty table has no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,29 +38,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, slices, table
-from .winnow import gram_hashes
 
-GRAM, SAMPLE, TERMS, LEAST_CHI2, LEAST_DF, LEAST_LIFT = 5, 20_000, 1024, 25.0, 3, 5.0
-BLOCK, NEAREST = 256, 16
-_SHIFT = np.uint64(44)
+SAMPLE, FLOOR = 6_000, 1e-4
+BLOCK, NEAREST, FIRST = 256, 16, 4
+_WORD = re.compile(r"\w+")
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 class Terms:
-    """Finds the chosen terms in texts."""
+    """The known words by number."""
 
-    def __init__(self, hashes: list[int]):
-        self.hashes = np.sort(np.array(hashes, np.int64).view(np.uint64))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hashes >> _SHIFT).astype(np.int64)] = True
+    def __init__(self, words: list[str]):
+        self.place = {w: n for n, w in enumerate(words)}
+
+    def __len__(self) -> int:
+        return len(self.place)
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, how often each)."""
-        h = gram_hashes(text.lower(), GRAM)
-        h = h[self.seen[(h >> _SHIFT).view(np.int64)]]
-        if not len(h) or not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.unique(at[self.hashes[at] == h], return_counts=True)
+        """(terms ascending, how often each)."""
+        found = Counter(map(self.place.get, words_of(text)))
+        found.pop(None, None)
+        t = np.fromiter(found, np.int64, len(found))
+        c = np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(t)
+        return t[order], c[order]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each stretch, one stretch after the other."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
 
 
 class Index:
@@ -59,73 +77,100 @@ class Index:
 
     def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple]):
         """examples: (id, label, terms, counts)."""
-        self.terms, self.idf = terms, idf
-        rows = []
-        n0 = y0 = 0
-        for i, y, t, c in examples:
-            t, c = np.asarray(t, np.int64), np.asarray(c, np.int64)
-            if len(t):
-                rows.append((y, t, self.weights(t, c), i))
-            else:
-                n0, y0 = n0 + 1, y0 + y
+        self.terms, self.n_terms = terms, len(terms)
+        n1 = sum(e[1] for e in examples)
+        self.base = (n1 + 0.5) / (len(examples) + 1)
+        self.stretch = idf * (self.explained(examples) + FLOOR)
+        rows = [(y, np.asarray(t, np.int64), np.asarray(c, np.int64), i) for i, y, t, c in examples]
+        empty = [y for y, t, _, _ in rows if not len(t)]
+        rows = [(y, t, self.weights(t, c), i) for y, t, c, i in rows if len(t)]
         # Like examples side by side give tight blocks; the order is one of contents, with ids last.
         rows.sort(key=lambda r: (int(r[1][np.argmax(r[2])]), r[0], r[1].tobytes(), r[2].tobytes(), r[3]))
         self.labels = np.array([r[0] for r in rows], np.float64)
         self.ids = [r[3] for r in rows]
         self.rows = [(r[1], r[2]) for r in rows]
-        self.base = (y0 + 0.5) / (n0 + 1)
-        blocks = range(0, len(rows), BLOCK)
-        self.most = np.zeros((len(terms.hashes), len(blocks)))
-        self.place: list[np.ndarray] = []
-        self.lists: list[np.ndarray] = []
-        for b, at in enumerate(blocks):
-            own = self.rows[at : at + BLOCK]
-            held = np.unique(np.concatenate([t for t, _ in own]))
-            place = np.full(len(terms.hashes), -1, np.int32)
-            place[held] = np.arange(len(held))
-            lists = np.zeros((len(held), len(own)))
-            for k, (t, w) in enumerate(own):
-                lists[place[t], k] = w
-            self.most[held, b] = lists.max(axis=1)
-            self.place.append(place)
-            self.lists.append(lists)
+        sizes = np.array([len(t) for t, _ in self.rows], np.int64)
+        term = np.concatenate([t for t, _ in self.rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in self.rows]) if rows else np.zeros(0)
+        example = np.repeat(np.arange(len(rows)), sizes)
+        # Lists by block and then term; of each list its key, start and largest weight.
+        key = example // BLOCK * self.n_terms + term
+        order = np.argsort(key, kind="stable")
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.keys, self.starts = np.unique(key[order], return_index=True)
+        self.ends = np.r_[self.starts[1:], len(order)]
+        most = np.maximum.reduceat(self.weight, self.starts) if len(order) else np.zeros(0)
+        # The same maxima by term and then block, for the bounds.
+        self.blocks = -(-len(rows) // BLOCK)
+        by_term = np.argsort(self.keys % max(1, self.n_terms), kind="stable")
+        self.bound_block, self.bound = (self.keys // max(1, self.n_terms))[by_term], most[by_term]
+        self.bound_start = np.searchsorted((self.keys % max(1, self.n_terms))[by_term], np.arange(self.n_terms + 1))
         self.curve = (0.0, 1.0)
-        self.calibrate(n0, y0)
+        self.calibrate(empty)
+
+    def explained(self, examples: list[tuple]) -> np.ndarray:
+        """Squared correlation of each term's presence and the label."""
+        held = np.zeros((2, self.n_terms))
+        sizes = np.zeros(2)
+        for _, y, t, _ in examples:
+            held[y, np.asarray(t, np.int64)] += 1
+            sizes[y] += 1
+        n, df = sizes.sum(), held.sum(axis=0)
+        apart = held[1] * sizes[0] - held[0] * sizes[1]
+        return apart**2 / np.maximum(df * (n - df) * sizes[0] * sizes[1], 1)
 
     def weights(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(c)) * self.idf[t]
+        w = (1 + np.log(c)) * self.stretch[t]
         return w / np.sqrt(np.dot(w, w))
 
+    def cosines(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of those examples in the blocks that share a term with the query."""
+        key = (blocks[:, None] * self.n_terms + t[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        at, q = at[hit], np.broadcast_to(w, (len(blocks), len(w))).ravel()[hit]
+        sizes = self.ends[at] - self.starts[at]
+        place = _spread(self.starts[at], sizes)
+        sums = np.bincount(self.example[place], self.weight[place] * np.repeat(q, sizes), len(self.labels))
+        own = np.flatnonzero(sums)
+        return own, sums[own]
+
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, by falling cosine and then place."""
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        if not self.lists:
+        at, best = np.zeros(0, np.int64), np.zeros(0)
+        if not self.blocks or not len(t):
             return at, best
-        bound = w @ self.most[t]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1] - 1e-12:
-                break
-            place = self.place[b][t]
-            hit = place >= 0
-            cosines = w[hit] @ self.lists[b][place[hit]]
-            own = np.arange(b * BLOCK, b * BLOCK + len(cosines))
-            if b * BLOCK <= without < b * BLOCK + len(cosines):
-                own, cosines = np.delete(own, without - b * BLOCK), np.delete(cosines, without - b * BLOCK)
-            best, at = np.concatenate([best, cosines]), np.concatenate([at, own])
+        sizes = self.bound_start[t + 1] - self.bound_start[t]
+        place = _spread(self.bound_start[t], sizes)
+        bound = np.bincount(self.bound_block[place], self.bound[place] * np.repeat(w, sizes), self.blocks)
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[bound[todo] > 0]
+        step = FIRST
+        while len(todo):
+            if len(best) >= k:
+                todo = todo[bound[todo] >= best[-1] - 1e-9]
+            own, cosines = self.cosines(t, w, todo[:step])
+            todo, step = todo[step:], 2 * step
+            keep = own != without
+            at, best = np.concatenate([at, own[keep]]), np.concatenate([best, cosines[keep]])
+            if len(best) > k:
+                least = np.partition(best, len(best) - k)[len(best) - k]
+                near = best >= least - 1e-9
+                at, best = at[near], best[near]
             order = np.lexsort((at, -np.round(best, 12)))[:k]
-            best, at = best[order], at[order]
-        return at[best > 0], best[best > 0]
+            at, best = at[order], best[order]
+        return at, best
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosines, 1))
         return (weight @ self.labels[at] + self.base) / (weight.sum() + 1)
 
-    def calibrate(self, n0: int, y0: int) -> None:
-        """Fit the curve on each example's vote without itself; examples without terms count as one point each way."""
-        x = [self.vote(*self.nearest(t, w, without=k)) for k, (t, w) in enumerate(self.rows)] + [self.base] * 2
-        y = np.r_[self.labels, 1.0, 0.0]
-        weight = np.r_[np.ones(len(self.rows)), y0 + 0.5, n0 - y0 + 0.5]
-        z = np.c_[np.ones(len(x)), np.log(x) - np.log1p(-np.array(x))]
+    def calibrate(self, empty: list[int]) -> None:
+        """Fit the curve on each example's vote without itself; those without terms vote the base rate."""
+        x = np.array([self.vote(*self.nearest(t, w, without=k)) for k, (t, w) in enumerate(self.rows)] + [self.base] * (len(empty) + 2))
+        y = np.r_[self.labels, np.array(empty, float), 1.0, 0.0]
+        weight = np.r_[np.ones(len(x) - 2), 0.5, 0.5]
+        z = np.c_[np.ones(len(x)), np.log(x) - np.log1p(-x)]
         a = np.array([0.0, 1.0])
         for _ in range(50):  # Newton's method, with a slight pull to the plain vote
             p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
@@ -135,6 +180,7 @@ class Index:
             if np.abs(step).max() < 1e-10:
                 break
         self.curve = (float(a[0]), max(0.05, float(a[1])))
+        del self.rows  # the lists hold all that queries need
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         """(probability, neighbours, their cosines)."""
@@ -145,59 +191,50 @@ class Index:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Index:
-    """Learn from at most ``sample`` labelled rows of ``labels``; term statistics are over all of ``docs``."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    """Learn from at most ``sample`` labelled rows of ``labels``; document frequencies are over all of ``docs``.
+
+    What comes to the driver is the examples' words, and a count for each of them.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # Copies of a text count once, as toxic if one of them is.
     some = materialize(d.join(F.broadcast(known), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y")))
-
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            parts: list[list[np.ndarray]] = [[], []]
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts[y > 0].append(np.unique(gram_hashes(t.lower(), GRAM)))
-            for y in (0, 1):
-                if parts[y]:
-                    h, n = np.unique(np.concatenate(parts[y]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n * (1 - y)), pa.array(n * y)], ["h", "n0", "n1"])
-
-    n0, n1 = some.agg(F.count_if(F.col("y") <= 0), F.count_if(F.col("y") > 0)).first()
-    chosen = []
-    if n0 and n1:
-        counts = some.select("text", "y").mapInArrow(by_label, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-        a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
-        apart = b * (n0 - a) - a * (n1 - b)
-        chi2 = n * apart * apart / ((a + b) * (n - a - b) * float(n0) * float(n1))
-        rows = counts.where((F.col("a") + F.col("b") >= LEAST_DF) & (a + b < n) & (apart > 0) & (b * n0 >= LEAST_LIFT * a * n1)).select("h", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "h").limit(TERMS).collect()
-        chosen = [r["h"] for r in rows]
-    terms = Terms(chosen)
-    size = len(chosen)
+    words: dict[str, None] = {}
+    for r in some.select("text").toLocalIterator():
+        words.update(dict.fromkeys(words_of(r["text"])))
+    terms = Terms(sorted(words))
+    size = len(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = sent.value.place
         df, n = np.zeros(size, np.int64), 0
         for batch in slices(batches, 0):
             for t in batch.column(0).to_pylist():
-                df[terms.counts(t)[0]] += 1
+                own = {place.get(w) for w in words_of(t)}
+                own.discard(None)
+                df[np.fromiter(own, np.int64, len(own))] += 1
                 n += 1
         held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, held]), pa.array(np.r_[n, df[held]])], ["t", "n"])
-
-    df = {r["t"]: r["n"] for r in d.select("text").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()} if size else {}
-    total = df.get(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in range(size)])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            got = [terms.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([c for _, c in got], pa.list_(pa.int64()))], ["id", "y", "t", "c"])
-
-    rows = some.select("id", "y", "text").mapInArrow(vectors, f"id {some.schema['id'].dataType.simpleString()}, y int, t array<long>, c array<long>").collect() if n0 + n1 else []
-    return Index(terms, idf, [(r["id"], int(r["y"] > 0), r["t"], r["c"]) for r in rows])
+        for at in range(0, len(held) + 1, 50_000):
+            part = held[at : at + 50_000]
+            ids, counts = (np.r_[-1, part], np.r_[n, df[part]]) if not at else (part, df[part])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts)], ["t", "n"])
+
+    df, total = np.zeros(size, np.int64), 0
+    if size:
+        for r in d.select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            t, n = r.column(0).to_numpy(), r.column(1).to_numpy()
+            total += int(n[t < 0].sum())
+            df[t[t >= 0]] = n[t >= 0]
+    idf = np.log((1 + total) / (1 + df)) + 1
+    rows = [(r["id"], r["y"], *terms.counts(r["text"])) for r in some.orderBy("id").toLocalIterator()]
+    return Index(terms, idf, rows)
 
 
 def scores(index: Index, spark: SparkSession, text: Column, evidence: bool = False) -> Column:
-    """A column of probabilities; with evidence, of (score, neighbours: id, label, cosine)."""
+    """A column of probabilities; with evidence, of (score, evidence: id, label, cosine of each neighbour)."""
     sent = spark.sparkContext.broadcast(index)
     kind = "struct<score double, evidence array<struct<id bigint, label int, cosine double>>>"
 
@@ -223,5 +260,5 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = fit(docs, training_labels(table(spark, sf_dir, "labels")))
-    got = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), scores(index, spark, F.col("text")).alias("score"))
-    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    got = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), scores(index, spark, F.col("text"), True).alias("x"))
+    return got.select("doc_id", "held_out", "x.score", (F.col("x.score") >= 0.5).cast("int").alias("predicted"), "x.evidence")
