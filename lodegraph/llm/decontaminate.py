@@ -1,42 +1,67 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Items and documents are strings of words (runs of letters, digits and _, in lower case).
-The CGK walk reads a window from each start: at every step it puts out the
-symbol it stands on, and a random bit that hangs on step and symbol says whether
-it goes on; so windows a few edits apart soon walk together again, and their
-edit distance becomes a Hamming distance of the outputs. Each of ``ROUNDS``
-rounds has a walk of its own and samples ``SAMPLED`` of its ``STEPS`` outputs as
-the key. Items are indexed from every offset, so that one stretch without edits
-anywhere in an item is enough for a match. Candidates place the item-sized
-window in the document; there the exact edit distance of the characters to the
-best stretch decides: an item is found if it is at most ``1 - SIMILAR`` of the
-item's length.
-
-The benchmark is sent to the tasks in blocks of at most ``BLOCK`` items, one
-after the other. Defined results: a null text counts as empty and is clean;
-items without words match nothing; items that repeat are all named; rows that
-repeat each keep a row.
+Items and documents are read as their words (runs of letters, digits and _, in
+lower case) with single spaces. The CGK walk reads the characters from a start:
+at every step it puts out the character it stands on, and a random bit that
+hangs on step and character says whether it goes on; so two strings a few edits
+apart soon walk together again, and their edit distance becomes a Hamming
+distance of the outputs. A round is a walk with bits of its own and a sample of
+its outputs as the key. Windows start at every word of a document and of an
+item, so that any stretch of an item may bring the two together. The number of
+sampled outputs grows with the logarithm of the number of keys. Rounds are added until ``TARGET``
+of the items (a seeded ``TRIAL`` of them) are found when each is edited in as
+many characters as may be, at places drawn evenly, ``ROUNDS`` at most. A meeting
+places the item-sized window in the document; there the exact edit distance to the best stretch decides: an
+item is found if it is at most ``1 - similar`` of the item's length.
+
+Outputs are sampled from the first ``STEPS`` steps only: at one edit in five
+characters, walks over the whole of an item are as far apart as those of
+unrelated texts. Items under ``SHORT`` characters are looked for in every text
+by their edit distance alone.
+
+The benchmark is sent to the tasks in blocks of ``BLOCK`` items, one after the
+other: each block's finds are written before the next is read. Defined results:
+a null text counts as empty and is clean; items without words match nothing;
+items that repeat are all named, and those without an id by null, last; rows
+that repeat each keep a row; an empty benchmark finds nothing, and an empty
+table has no rows. Columns of the documents other than the new one may have any
+name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, slices, table
 
-ROUNDS, STEPS, SAMPLED, SIMILAR, BLOCK = 4, 9, 6, 0.8, 20_000
+SIMILAR, TARGET, TRIAL = 0.8, 0.99, 200
+STEPS, SAMPLED, ROUNDS, SHORT, BLOCK = 22, 10, 12, 24, 5_000
 _WORD = re.compile(r"\w+")
+_SYMBOLS = 1024
+_SHIFT = np.uint64(44)
+
+
+def normal(text: str) -> str:
+    return " ".join(_WORD.findall(text.lower()))
+
 
+def symbols_of(line: str) -> np.ndarray:
+    """A number for each character; the space is 0."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    return (((c - np.uint32(32)) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.uint16)
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+
+def starts_of(symbols: np.ndarray) -> np.ndarray:
+    """Where words start."""
+    inner = symbols != 0
+    inner[1:] &= symbols[:-1] == 0
+    return np.flatnonzero(inner)
 
 
 def edit_distance_within(pattern: str, text: str) -> int:
@@ -68,118 +93,167 @@ def edit_distance_within(pattern: str, text: str) -> int:
     return best
 
 
+def edited(line: str, edits: int, r: np.random.Generator) -> str:
+    """The line with so many characters substituted, put in or left out, at places drawn evenly."""
+    out = list(line)
+    for at in sorted(r.choice(len(out), min(edits, len(out)), replace=False).tolist(), reverse=True):
+        other = chr(97 + int(r.integers(26)))
+        out[at : at + 1] = ([other], [out[at], other], [])[int(r.integers(3))]
+    return "".join(out)
+
+
 class Index:
-    """Keys of the items' windows."""
+    """Keys of the items' windows, in rounds."""
 
-    def __init__(self, items: list[tuple[int, str]], similar: float = SIMILAR, rounds: int = ROUNDS, seed: int = 5):
+    def __init__(self, items: list[tuple[int | None, str]], similar: float = SIMILAR, target: float = TARGET, rounds: int = ROUNDS, seed: int = 5):
         self.similar = similar
-        self.items = [(i, w) for i, t in items if (w := words_of(t or ""))]
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws), 1)}
-        self.joined = [" ".join(w) for _, w in self.items]
+        self.items = [(i, w) for i, t in items if (w := normal(t or ""))]
+        self.allowed = [math.floor((1 - similar) * len(w) + 1e-9) for _, w in self.items]
+        self.short = [k for k, (_, w) in enumerate(self.items) if len(w) < SHORT]
+        self.rounds: list[tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.proved: dict[tuple[int, str], bool] = {}
+        far = [k for k, (_, w) in enumerate(self.items) if len(w) >= SHORT]
+        if not far:
+            return
         r = np.random.default_rng(seed)
-        n = len(self.vocabulary) + 1
-        self.symbol = r.integers(1, 1 << 62, n, dtype=np.uint64)
-        self.walks: list[tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]] = []
-        coded = [np.array([self.vocabulary[x] for x in w], np.int32) for _, w in self.items]
-        # Items of fewer words than steps have walks of their own length.
-        for steps in sorted({min(STEPS, len(c)) for c in coded}):
-            own = [k for k, c in enumerate(coded) if min(STEPS, len(c)) == steps]
-            flat = np.concatenate([coded[k] for k in own])
-            at = np.concatenate([np.arange(len(coded[k]) - steps + 1) + s for k, s in zip(own, np.r_[0, np.cumsum([len(coded[k]) for k in own])], strict=False)])
-            item = np.repeat(own, [len(coded[k]) - steps + 1 for k in own])
-            offset = np.concatenate([np.arange(len(coded[k]) - steps + 1) for k in own])
-            for _ in range(rounds):
-                bits = r.integers(0, 2, (steps, n), dtype=np.int8)
-                for k in range(1, steps):  # a walk never stays twice running, else it could rest on one common word
-                    bits[k] |= 1 - bits[k - 1]
-                sampled = sorted({0, *r.choice(np.arange(1, steps), min(SAMPLED, steps) - 1, replace=False).tolist()} if steps > 1 else {0})
-                keys = self._walk(flat, at, bits, sampled)
-                order = np.argsort(keys, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-                self.walks.append((steps, bits, sampled, keys[order], np.c_[item, offset][order], seen))
-
-    def _walk(self, ids: np.ndarray, start: np.ndarray, bits: np.ndarray, sampled: list[int]) -> np.ndarray:
+        self.symbol = r.integers(1, 1 << 62, _SYMBOLS, dtype=np.uint64)
+        flat, at, item, offset, begin = [], [], [], [], 0
+        for k in far:
+            own = symbols_of(self.items[k][1])
+            first = starts_of(own)
+            first = first[first <= len(own) - STEPS]
+            flat.append(own)
+            at.append(first + begin)
+            item.append(np.full(len(first), k))
+            offset.append(first)
+            begin += len(own)
+        place = [np.concatenate(x) for x in (flat, at, item, offset)]
+        # A character in common tells about 2.5 bits.
+        sampled = min(STEPS, max(SAMPLED, math.ceil(math.log2(max(2, len(place[1]))) / 2.5) + 4))
+        trial = [(k, symbols_of(edited(self.items[k][1], self.allowed[k], r))) for k in r.permutation(far)[:TRIAL].tolist()]
+        met: set[int] = set()
+        for _ in range(rounds):
+            bits = r.integers(0, 2, (STEPS, _SYMBOLS), dtype=np.int8)
+            for k in range(1, STEPS):  # a walk never stays twice running, else it could rest on one character
+                bits[k] |= 1 - bits[k - 1]
+            steps = sorted(r.choice(STEPS, sampled, replace=False).tolist())
+            keys = self._walk(place[0], place[1], bits, steps)
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[(keys >> _SHIFT).astype(np.int64)] = True
+            self.rounds.append((bits, steps, keys[order], place[2][order], place[3][order], seen))
+            for k, line in trial:
+                if k not in met:
+                    line = np.r_[line, np.zeros(STEPS, np.uint16)]
+                    got = self._walk(line, starts_of(line), bits, steps)
+                    lo, hi = np.searchsorted(keys[order], got, "left"), np.searchsorted(keys[order], got, "right")
+                    if any(k in place[2][order][x:y] for x, y in zip(lo[hi > lo], hi[hi > lo], strict=True)):
+                        met.add(k)
+            if len(met) >= target * len(trial):
+                break
+        self.recall = len(met) / len(trial)
+
+    def _walk(self, line: np.ndarray, start: np.ndarray, bits: np.ndarray, steps: list[int]) -> np.ndarray:
         at, key = start.copy(), np.zeros(len(start), np.uint64)
-        for step in range(sampled[-1] + 1):
-            if step in sampled:
-                key = (key ^ self.symbol[ids[at]]) * np.uint64(0x9E3779B97F4A7C15)
+        for step in range(steps[-1] + 1):
+            s = line[at]
+            if step in steps:
+                key = (key ^ self.symbol[s]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            at += bits[step][ids[at]]
+            at += bits[step][s]
         return key
 
-    def found(self, texts: list[str]) -> list[list[int]]:
-        """Ids of the items in each text, ascending."""
+    def found(self, texts: list[str]) -> list[list[int | None]]:
+        """Ids of the items in each text, ascending, null last."""
         out: list[list[int]] = [[] for _ in texts]
-        if not self.items:
-            return out
-        words = [words_of(t) for t in texts]
-        coded = [np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.int32, len(w)) for w in words]
-        # The texts one after the other, with words that no item has between them.
-        size = np.array([len(c) + STEPS for c in coded])
-        starts = np.r_[0, np.cumsum(size)]
-        flat = np.zeros(int(starts[-1]) + 1, np.int32)
-        for c, s in zip(coded, starts, strict=False):
-            flat[s : s + len(c)] = c
-        some = np.flatnonzero(flat)
-        candidates: set[tuple[int, int, int]] = set()
-        for _, bits, sampled, keys, where, seen in self.walks:
-            got = self._walk(flat, some, bits, sampled)
-            hit = seen[(got >> np.uint64(44)).astype(np.int64)]
-            at, got = some[hit], got[hit]
-            lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                doc = int(np.searchsorted(starts, p, "right")) - 1
-                for item, offset in where[a:b].tolist():
-                    candidates.add((doc, item, p - int(starts[doc]) - offset))
-        by: dict[tuple[int, int], set[int]] = {}
-        for doc, item, begin in candidates:
-            by.setdefault((doc, item), set()).add(begin)
-        for (doc, item), begins in sorted(by.items()):
-            n = len(self.items[item][1])
-            slack = math.ceil((1 - self.similar) * n) + 2
-            allowed = math.floor((1 - self.similar) * len(self.joined[item]) + 1e-9)
-            end = -1
-            # Windows that overlap are read as one.
-            stretches: list[list[int]] = []
-            for b in sorted(begins):
-                lo, hi = max(0, b - slack), b + n + slack
-                if lo < end:
-                    stretches[-1][1] = hi
-                else:
-                    stretches.append([lo, hi])
-                end = hi
-            if any(edit_distance_within(self.joined[item], " ".join(words[doc][lo:hi])) <= allowed for lo, hi in stretches):
-                out[doc].append(self.items[item][0])
-        return [sorted(x) for x in out]
+        lines = [normal(t) for t in texts] if self.items else []
+        for k in self.short:
+            for doc, line in enumerate(lines):
+                if line and edit_distance_within(self.items[k][1], line) <= self.allowed[k]:
+                    out[doc].append(k)
+        if self.rounds and any(lines):
+            # The texts one after the other, with room for a walk's end between them.
+            size = np.array([len(x) + STEPS for x in lines])
+            begins = np.r_[0, np.cumsum(size)]
+            flat = np.zeros(int(begins[-1]) + 1, np.uint16)
+            for x, b in zip(lines, begins, strict=False):
+                flat[b : b + len(x)] = symbols_of(x)
+            some = starts_of(flat)
+            met: list[np.ndarray] = []
+            for bits, steps, keys, item, offset, seen in self.rounds:
+                got = self._walk(flat, some, bits, steps)
+                hit = seen[(got >> _SHIFT).astype(np.int64)]
+                at, got = some[hit], got[hit]
+                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                n = hi - lo
+                which = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                at = np.repeat(at, n)
+                doc = np.searchsorted(begins, at, "right") - 1
+                met.append(np.stack([doc, item[which], at - begins[doc] - offset[which]]))
+            every = np.unique(np.concatenate(met, axis=1), axis=1)
+            if every.shape[1]:
+                cuts = np.flatnonzero((np.diff(every[:2], axis=1) != 0).any(axis=0)) + 1
+                for part in np.split(every, cuts, axis=1):
+                    doc, k = int(part[0, 0]), int(part[1, 0])
+                    if self._stands(k, lines[doc], part[2].tolist()):
+                        out[doc].append(k)
+        return [sorted((self.items[k][0] for k in x), key=lambda i: (i is None, i)) for x in out]
+
+    def _stands(self, k: int, line: str, begins: list[int]) -> bool:
+        """Whether the item stands in the line at one of the places, by ascending place."""
+        n, slack = len(self.items[k][1]), self.allowed[k] + 2
+        stretches: list[list[int]] = []
+        for b in begins:  # windows that overlap are read as one
+            lo, hi = max(0, b - slack), b + n + slack
+            if stretches and lo < stretches[-1][1]:
+                stretches[-1][1] = hi
+            else:
+                stretches.append([lo, hi])
+        for lo, hi in stretches:
+            key = (k, line[lo:hi])
+            if key not in self.proved:
+                if len(self.proved) >= 5_000:
+                    self.proved.clear()
+                self.proved[key] = edit_distance_within(self.items[k][1], key[1]) <= self.allowed[k]
+            if self.proved[key]:
+                return True
+        return False
 
 
 def _finder(sent):  # noqa: ANN001, ANN202
     @F.arrow_udf("array<bigint>")
     def find(texts: pa.Array) -> pa.Array:
         index = sent.value
-        out, texts = [], texts.to_pylist()
-        for at in range(0, len(texts), 512):
-            out += index.found(texts[at : at + 512])
+        out = []
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], 0, 1 << 20):
+            out += index.found(part.column(0).to_pylist())
         return pa.array(out, pa.list_(pa.int64()))
 
     return find
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR, block: int = BLOCK) -> F.Column:
-    """A column of the ids of the benchmark items that stand in each text."""
+def marked(docs: DataFrame, benchmark: DataFrame, out_col: str = "item_ids", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """The documents with a column of the ids of the benchmark items that stand in each text."""
     spark = docs.sparkSession
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(item_text_col, F.lit("")).alias("t"))
     blocks = max(1, math.ceil(rows.count() / block))
-    got = []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in rows.collect()], similar))  # a block at most
+        return docs.withColumn(out_col, _finder(sent)(text))
+    kept = materialize(docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")))
+    rows = materialize(rows.withColumn("n", F.pmod(F.xxhash64("i", "t", F.monotonically_increasing_id()), F.lit(blocks))))
+    finds = None
     for n in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n)
-        sent = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part.toLocalIterator()], similar))
-        got.append(_finder(sent)(F.coalesce(text_col, F.lit(""))))
-    return got[0] if len(got) == 1 else F.array_sort(F.flatten(F.array(*got)))
+        sent = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in rows.where(F.col("n") == n).toLocalIterator()], similar))
+        own = kept.select("row", _finder(sent)(F.coalesce(F.col("d").getField(text_col), F.lit(""))).alias("ids")).where(F.size("ids") > 0)
+        own = materialize(own)
+        sent.destroy()
+        finds = own if finds is None else finds.unionByName(own)
+    told = finds.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return kept.join(told, "row", "left").select("d.*", F.coalesce("ids", F.array().cast("array<bigint>")).alias(out_col))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    got = docs.select("doc_id", matches(docs, table(spark, sf_dir, "benchmark")).alias("item_ids"))
+    got = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
