@@ -40,11 +40,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-SIMILAR, TARGET, TRIAL = 0.8, 0.99, 200
-STEPS, SAMPLED, ROUNDS, SHORT, BLOCK = 22, 10, 12, 24, 5_000
+SIMILAR, TARGET, TRIAL = 0.8, 0.97, 200
+STEPS, SAMPLED, ROUNDS, SHORT, BLOCK = 22, 14, 16, 24, 5_000
+#: Sampled outputs after which a start goes on only if an item's window begins so.
+EARLY = 6
 _WORD = re.compile(r"\w+")
 _SYMBOLS = 1024
-_SHIFT = np.uint64(44)
+_SHIFT, _FACTOR, _MIX = np.uint64(44), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return ((keys * _MIX) >> _SHIFT).view(np.int64)
+
+
+def _seen(keys: np.ndarray) -> np.ndarray:
+    """Which of 2^20 cells hold a key: what is in no cell is no key."""
+    out = np.zeros(1 << 20, bool)
+    out[_cell(keys)] = True
+    return out
 
 
 def normal(text: str) -> str:
@@ -110,7 +123,7 @@ class Index:
         self.items = [(i, w) for i, t in items if (w := normal(t or ""))]
         self.allowed = [math.floor((1 - similar) * len(w) + 1e-9) for _, w in self.items]
         self.short = [k for k, (_, w) in enumerate(self.items) if len(w) < SHORT]
-        self.rounds: list[tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rounds: list[tuple] = []
         self.proved: dict[tuple[int, str], bool] = {}
         far = [k for k, (_, w) in enumerate(self.items) if len(w) >= SHORT]
         if not far:
@@ -129,7 +142,7 @@ class Index:
             begin += len(own)
         place = [np.concatenate(x) for x in (flat, at, item, offset)]
         # A character in common tells about 2.5 bits.
-        sampled = min(STEPS, max(SAMPLED, math.ceil(math.log2(max(2, len(place[1]))) / 2.5) + 4))
+        sampled = min(STEPS, max(SAMPLED, math.ceil(math.log2(max(2, len(place[1]))) / 2.5) + 8))
         trial = [(k, symbols_of(edited(self.items[k][1], self.allowed[k], r))) for k in r.permutation(far)[:TRIAL].tolist()]
         met: set[int] = set()
         for _ in range(rounds):
@@ -137,15 +150,13 @@ class Index:
             for k in range(1, STEPS):  # a walk never stays twice running, else it could rest on one character
                 bits[k] |= 1 - bits[k - 1]
             steps = sorted(r.choice(STEPS, sampled, replace=False).tolist())
-            keys = self._walk(place[0], place[1], bits, steps)
+            keys, early = self._keys(place[0], place[1], bits, steps)
             order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(keys >> _SHIFT).astype(np.int64)] = True
-            self.rounds.append((bits, steps, keys[order], place[2][order], place[3][order], seen))
+            self.rounds.append((bits, steps, keys[order], place[2][order], place[3][order], _seen(early), _seen(keys)))
             for k, line in trial:
                 if k not in met:
                     line = np.r_[line, np.zeros(STEPS, np.uint16)]
-                    got = self._walk(line, starts_of(line), bits, steps)
+                    got = self._keys(line, starts_of(line), bits, steps)[0]
                     lo, hi = np.searchsorted(keys[order], got, "left"), np.searchsorted(keys[order], got, "right")
                     if any(k in place[2][order][x:y] for x, y in zip(lo[hi > lo], hi[hi > lo], strict=True)):
                         met.add(k)
@@ -153,15 +164,26 @@ class Index:
                 break
         self.recall = len(met) / len(trial)
 
-    def _walk(self, line: np.ndarray, start: np.ndarray, bits: np.ndarray, steps: list[int]) -> np.ndarray:
-        at, key = start.copy(), np.zeros(len(start), np.uint64)
+    def _keys(self, line: np.ndarray, start: np.ndarray, bits: np.ndarray, steps: list[int], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the walks from each start, and of their first outputs; with ``seen``, starts and keys of those whose first outputs are in it."""
+        at, key, early = start.copy(), np.zeros(len(start), np.uint64), start
+        told = 0
         for step in range(steps[-1] + 1):
             s = line[at]
-            if step in steps:
-                key = (key ^ self.symbol[s]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            at += bits[step][s]
-        return key
+            if step == steps[told]:
+                key *= _FACTOR
+                key += self.symbol[s]
+                told += 1
+                if told == EARLY:
+                    early = key
+                    if seen is not None:
+                        go = np.flatnonzero(seen[_cell(early)])
+                        at, key, start, s = at[go], key[go], start[go], s[go]
+                    else:
+                        key = key.copy()
+            if step < steps[-1]:
+                at += bits[step][s]
+        return (key, early) if seen is None else (start, key)
 
     def found(self, texts: list[str]) -> list[list[int | None]]:
         """Ids of the items in each text, ascending, null last."""
@@ -180,10 +202,10 @@ class Index:
                 flat[b : b + len(x)] = symbols_of(x)
             some = starts_of(flat)
             met: list[np.ndarray] = []
-            for bits, steps, keys, item, offset, seen in self.rounds:
-                got = self._walk(flat, some, bits, steps)
-                hit = seen[(got >> _SHIFT).astype(np.int64)]
-                at, got = some[hit], got[hit]
+            for bits, steps, keys, item, offset, early, seen in self.rounds:
+                at, got = self._keys(flat, some, bits, steps, early)
+                hit = seen[_cell(got)]
+                at, got = at[hit], got[hit]
                 lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
                 n = hi - lo
                 which = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -225,7 +247,7 @@ def _finder(sent):  # noqa: ANN001, ANN202
     def find(texts: pa.Array) -> pa.Array:
         index = sent.value
         out = []
-        for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], 0, 1 << 20):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], 0, 1 << 18):
             out += index.found(part.column(0).to_pylist())
         return pa.array(out, pa.list_(pa.int64()))
 
