@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-SIMILAR, TARGET, TRIAL = 0.8, 0.97, 200
+SIMILAR, TARGET, TRIAL = 0.8, 0.95, 200
 STEPS, SAMPLED, ROUNDS, SHORT, BLOCK = 22, 14, 16, 24, 5_000
 #: Sampled outputs after which a start goes on only if an item's window begins so.
-EARLY = 6
+EARLY = 7
 _WORD = re.compile(r"\w+")
 _SYMBOLS = 1024
 _SHIFT, _FACTOR, _MIX = np.uint64(44), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +67,7 @@ def normal(text: str) -> str:
 def symbols_of(line: str) -> np.ndarray:
     """A number for each character; the space is 0."""
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-    return (((c - np.uint32(32)) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.uint16)
+    return (((c - np.uint32(32)) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int64)
 
 
 def starts_of(symbols: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ class Index:
         trial = [(k, symbols_of(edited(self.items[k][1], self.allowed[k], r))) for k in r.permutation(far)[:TRIAL].tolist()]
         met: set[int] = set()
         for _ in range(rounds):
-            bits = r.integers(0, 2, (STEPS, _SYMBOLS), dtype=np.int8)
+            bits = r.integers(0, 2, (STEPS, _SYMBOLS))
             for k in range(1, STEPS):  # a walk never stays twice running, else it could rest on one character
                 bits[k] |= 1 - bits[k - 1]
             steps = sorted(r.choice(STEPS, sampled, replace=False).tolist())
@@ -155,7 +155,7 @@ class Index:
             self.rounds.append((bits, steps, keys[order], place[2][order], place[3][order], _seen(early), _seen(keys)))
             for k, line in trial:
                 if k not in met:
-                    line = np.r_[line, np.zeros(STEPS, np.uint16)]
+                    line = np.r_[line, np.zeros(STEPS, np.int64)]
                     got = self._keys(line, starts_of(line), bits, steps)[0]
                     lo, hi = np.searchsorted(keys[order], got, "left"), np.searchsorted(keys[order], got, "right")
                     if any(k in place[2][order][x:y] for x, y in zip(lo[hi > lo], hi[hi > lo], strict=True)):
@@ -197,7 +197,7 @@ class Index:
             # The texts one after the other, with room for a walk's end between them.
             size = np.array([len(x) + STEPS for x in lines])
             begins = np.r_[0, np.cumsum(size)]
-            flat = np.zeros(int(begins[-1]) + 1, np.uint16)
+            flat = np.zeros(int(begins[-1]) + 1, np.int64)
             for x, b in zip(lines, begins, strict=False):
                 flat[b : b + len(x)] = symbols_of(x)
             some = starts_of(flat)
