@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,20 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodegraph.shared.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lodegraph-")
-        spark.conf.set("lodegraph.shared.dir", where)
-    return where.rstrip("/")
-
-
 def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut lineage by a table written in the shared folder; a lost executor costs nothing that was written."""
     spark = df.sparkSession
@@ -38,10 +30,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Stretches of the batches whose texts hold ``most`` bytes together, or one row; what a task makes of them is bounded alike."""
     for batch in batches:

@@ -1,30 +1,31 @@
 """Repeated passages by sliding spans of sentences.
 
-A text is cut into sentences; a span is a run of consecutive sentences, from
-every sentence forward and to every sentence back: three or more with at least
-``LEAST_WORDS`` words, or fewer that hold ``MANY_WORDS`` words. Spans are hashed
-(96 bits) in lower case with single spaces, and joined over all documents. All
-occurrences of a span but the first, by ascending id and place, are repeats, and
-each sentence that a repeat covers is removed.
-
-A passage may begin and end in mid-sentence. So windows of ``MANY_WORDS`` words
-are hashed as well, cut sentences at their ends included: one at every sentence
-start, one every ``STEP`` words back from it, and one up to every sentence end.
-Any ``STEP`` neighbouring windows of a passage hold one of these, so in a
-repeated passage of over 50 words each whole sentence is covered that is whole
-in both places.
+A text is cut into sentences; a span is a run of ``LEAST`` consecutive sentences,
+from every sentence on, of however few words, or a single sentence of
+``MANY_WORDS`` words or more. Spans are hashed (96 bits) in lower case with
+single spaces, and joined over all documents. All occurrences of a span but the
+first, by ascending id and place, are repeats, and each sentence that a repeat
+covers is removed.
+
+A passage may begin and end in mid-sentence, or hold fewer sentences. So windows
+of ``MANY_WORDS`` words are hashed as well, cut sentences at their ends included:
+one at every sentence start, one every ``STEP`` words back from it, and one up to
+every sentence end. Any ``STEP`` neighbouring windows of a passage hold one of
+these, so in a repeated passage of over 50 words each whole sentence is covered
+that is whole in both places. (A run of over 50 words needs no hash of its own
+for that reason.)
 
 Occurrences of a span within a task are settled there, so that a passage in a
 third of all rows is dealt as a row of each task. Defined results: a null text
 counts as empty; null ids come last; rows that share id and text are one
 document and change alike; rows that share an id but not the text are told apart
-by the text's checksum.
+by the text's checksum. Only the columns asked for are read; an empty table has
+no rows.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAST, LEAST_WORDS, MANY_WORDS = 3, 20, 40
+LEAST, MANY_WORDS = 5, 40
 #: A passage of 51 words holds 12 windows of 40.
 STEP = 51 - MANY_WORDS + 1
 _END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
@@ -59,21 +60,9 @@ def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def runs(words: list[int], least: int = LEAST, least_words: int = LEAST_WORDS, many: int = MANY_WORDS) -> set[tuple[int, int]]:
-    """(first, last) sentences of the spans: the shortest from each sentence on, and the shortest back from each."""
-    out = set()
-    n = len(words)
-    for step in (1, -1):
-        for i in range(n):
-            j, size, count = i, 0, 0
-            while 0 <= j < n:
-                size += words[j]
-                count += 1
-                if size >= many or count >= least and size >= least_words:
-                    out.add((i, j) if step > 0 else (j, i))
-                    break
-                j += step
-    return out
+def runs(words: list[int], least: int = LEAST, many: int = MANY_WORDS) -> set[tuple[int, int]]:
+    """(first, last) sentences of the spans: every run of ``least`` sentences, and every sentence of ``many`` words."""
+    return {(i, i + least - 1) for i in range(len(words) - least + 1)} | {(i, i) for i, n in enumerate(words) if n >= many}
 
 
 def windows(words: list[int], many: int = MANY_WORDS, step: int = STEP) -> list[tuple[int, int, int]]:
@@ -93,11 +82,11 @@ def windows(words: list[int], many: int = MANY_WORDS, step: int = STEP) -> list[
     return out
 
 
-def _occurrences(texts: list[str]) -> Iterator[tuple[int, bytes, int, int]]:
+def _occurrences(texts: list[str], least: int = LEAST) -> Iterator[tuple[int, bytes, int, int]]:
     for k, t in enumerate(texts):
         own = sentences(t)
         sizes = [s[3] for s in own]
-        for i, j in runs(sizes):
+        for i, j in runs(sizes, least):
             if i < j and sum(sizes[i : j + 1]) > MANY_WORDS + STEP - 2:
                 continue  # its sentences have windows or are spans alone
             yield k, xxhash.xxh3_128_digest(b"\0".join([s[2] for s in own[i : j + 1]])), i, j
@@ -108,8 +97,10 @@ def _occurrences(texts: list[str]) -> Iterator[tuple[int, bytes, int, int]]:
                 yield k, xxhash.xxh3_128_digest(line[at[x] : at[x + MANY_WORDS] - 1], 1), i, j
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_sentences, n_removed): every document without the sentences that repeats cover."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(id, text, n_sentences, n_removed): every document without the sentences that repeats cover; ``least``: sentences of a run, 2 to 40."""
+    if not 2 <= least <= 40:
+        raise ValueError("least must be from 2 to 40")
     names = ["hi", "lo", "id", "u", "place", "repeat"]
     schema = "hi long, lo int, id long, u long, place long, repeat boolean"
 
@@ -135,7 +126,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 ids, sums = some.column(0).to_numpy(zero_copy_only=False), some.column(1).to_numpy()
-                got = list(_occurrences(some.column(2).to_pylist()))
+                got = list(_occurrences(some.column(2).to_pylist(), least))
                 if got:
                     key = np.frombuffer(b"".join([g[1] for g in got]), np.dtype([("hi", "<i8"), ("lo", "<i4"), ("rest", "<i4")]))
                     k = np.array([g[0] for g in got])
@@ -185,9 +176,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return got.select(F.col("o").alias(id_col), "x.text", "x.n_sentences", "x.n_removed")
 
 
-def checksum(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
-
-
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
