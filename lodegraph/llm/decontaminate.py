@@ -149,7 +149,7 @@ class Index:
             bits = r.integers(0, 2, (STEPS, _SYMBOLS))
             for k in range(1, STEPS):  # a walk never stays twice running, else it could rest on one character
                 bits[k] |= 1 - bits[k - 1]
-            steps = sorted(r.choice(STEPS, sampled, replace=False).tolist())
+            steps = sorted([*r.choice(STEPS - 1, sampled - 1, replace=False).tolist(), STEPS - 1])
             keys, early = self._keys(place[0], place[1], bits, steps)
             order = np.argsort(keys, kind="stable")
             self.rounds.append((bits, steps, keys[order], place[2][order], place[3][order], _seen(early), _seen(keys)))
