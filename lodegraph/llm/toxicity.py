@@ -5,13 +5,16 @@ labelled examples hold; a text is the vector of (1 + ln tf) * idf over them, wit
 document frequencies over all documents. Words that go with the labels should
 weigh more than words of the subject, so each coordinate is stretched by the
 share of the label's variance that its word explains (squared correlation over
-the examples, plus ``FLOOR``, so that no word is without weight). Nearness is the exact cosine
+the examples, less what chance may bring, plus ``FLOOR``, so that no word is
+without weight). Nearness is the exact cosine
 of the stretched TF-IDF vectors.
 
-The examples stand in an inverted index by blocks of ``BLOCK``: a sparse list of
-(example, weight) for each word of a block, and the largest weight of each list.
-A query bounds every block's cosines by these, reads blocks by falling bound,
-and stops once no block can beat the ``NEAREST`` best: the neighbours are exact.
+The examples stand in an inverted index: for each word a list of (example,
+weight), and for each block of ``BLOCK`` examples the largest weight of each
+common word in it. A query sums the short lists first; the sums of the
+``NEAREST`` best so far are a floor, and the block maxima of the common words
+bound what any example of a block can still gain, so only examples that can
+reach the floor are summed over the long lists: the neighbours are exact.
 Votes weigh by distance, a base rate votes from distance 1, and a logistic curve
 fitted by leaving each example out makes the vote a probability. The neighbours
 are the evidence.
@@ -39,8 +42,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, slices, table
 
-SAMPLE, FLOOR = 6_000, 1e-4
-BLOCK, NEAREST, FIRST = 256, 16, 4
+SAMPLE, FLOOR = 4_000, 1e-4
+#: The 99 % point of chi-square: so much association is put down to chance.
+CHANCE = 6.63
+BLOCK, NEAREST = 64, 16
+#: A word in over one of so many examples is common.
+COMMON = 16
 _WORD = re.compile(r"\w+")
 
 
@@ -59,10 +66,10 @@ class Terms:
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms ascending, how often each)."""
-        found = Counter(map(self.place.get, words_of(text)))
-        found.pop(None, None)
-        t = np.fromiter(found, np.int64, len(found))
-        c = np.fromiter(found.values(), np.int64, len(found))
+        found = Counter(words_of(text))
+        known = self.place.keys() & found.keys()
+        t = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        c = np.fromiter(map(found.__getitem__, known), np.int64, len(known))
         order = np.argsort(t)
         return t[order], c[order]
 
@@ -93,23 +100,25 @@ class Index:
         term = np.concatenate([t for t, _ in self.rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in self.rows]) if rows else np.zeros(0)
         example = np.repeat(np.arange(len(rows)), sizes)
-        # Lists by block and then term; of each list its key, start and largest weight.
-        key = example // BLOCK * self.n_terms + term
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(term, kind="stable")
         self.example, self.weight = example[order].astype(np.int32), weight[order]
-        self.keys, self.starts = np.unique(key[order], return_index=True)
-        self.ends = np.r_[self.starts[1:], len(order)]
-        most = np.maximum.reduceat(self.weight, self.starts) if len(order) else np.zeros(0)
-        # The same maxima by term and then block, for the bounds.
-        self.blocks = -(-len(rows) // BLOCK)
-        by_term = np.argsort(self.keys % max(1, self.n_terms), kind="stable")
-        self.bound_block, self.bound = (self.keys // max(1, self.n_terms))[by_term], most[by_term]
-        self.bound_start = np.searchsorted((self.keys % max(1, self.n_terms))[by_term], np.arange(self.n_terms + 1))
+        self.starts = np.searchsorted(term[order], np.arange(self.n_terms + 1))
+        # Common words: no more than COMMON times the mean number of an example's words.
+        common = np.flatnonzero(np.diff(self.starts) * COMMON > len(rows))
+        self.common = np.full(self.n_terms, -1, np.int32)
+        self.common[common] = np.arange(len(common))
+        blocks = -(-len(rows) // BLOCK)
+        self.long = np.zeros((len(common), blocks * BLOCK))
+        for k, t in enumerate(common):
+            part = slice(self.starts[t], self.starts[t + 1])
+            self.long[k, self.example[part]] = self.weight[part]
+        self.rough = self.long.astype(np.float32)
+        self.most = self.long.reshape(len(common), blocks, BLOCK).max(axis=2) if len(common) else np.zeros((0, blocks))
         self.curve = (0.0, 1.0)
         self.calibrate(empty)
 
     def explained(self, examples: list[tuple]) -> np.ndarray:
-        """Squared correlation of each term's presence and the label."""
+        """Squared correlation of each term's presence and the label, less ``CHANCE``."""
         held = np.zeros((2, self.n_terms))
         sizes = np.zeros(2)
         for _, y, t, _ in examples:
@@ -117,49 +126,44 @@ class Index:
             sizes[y] += 1
         n, df = sizes.sum(), held.sum(axis=0)
         apart = held[1] * sizes[0] - held[0] * sizes[1]
-        return apart**2 / np.maximum(df * (n - df) * sizes[0] * sizes[1], 1)
+        share = apart**2 / np.maximum(df * (n - df) * sizes[0] * sizes[1], 1)
+        return np.maximum(share - CHANCE / max(n, 1), 0)
 
     def weights(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
         w = (1 + np.log(c)) * self.stretch[t]
         return w / np.sqrt(np.dot(w, w))
 
-    def cosines(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of those examples in the blocks that share a term with the query."""
-        key = (blocks[:, None] * self.n_terms + t[None, :]).ravel()
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        at, q = at[hit], np.broadcast_to(w, (len(blocks), len(w))).ravel()[hit]
-        sizes = self.ends[at] - self.starts[at]
-        place = _spread(self.starts[at], sizes)
-        sums = np.bincount(self.example[place], self.weight[place] * np.repeat(q, sizes), len(self.labels))
-        own = np.flatnonzero(sums)
-        return own, sums[own]
-
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, by falling cosine and then place."""
-        at, best = np.zeros(0, np.int64), np.zeros(0)
-        if not self.blocks or not len(t):
-            return at, best
-        sizes = self.bound_start[t + 1] - self.bound_start[t]
-        place = _spread(self.bound_start[t], sizes)
-        bound = np.bincount(self.bound_block[place], self.bound[place] * np.repeat(w, sizes), self.blocks)
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        step = FIRST
-        while len(todo):
-            if len(best) >= k:
-                todo = todo[bound[todo] >= best[-1] - 1e-9]
-            own, cosines = self.cosines(t, w, todo[:step])
-            todo, step = todo[step:], 2 * step
-            keep = own != without
-            at, best = np.concatenate([at, own[keep]]), np.concatenate([best, cosines[keep]])
-            if len(best) > k:
-                least = np.partition(best, len(best) - k)[len(best) - k]
-                near = best >= least - 1e-9
-                at, best = at[near], best[near]
-            order = np.lexsort((at, -np.round(best, 12)))[:k]
-            at, best = at[order], best[order]
-        return at, best
+        n = len(self.labels)
+        if not n or not len(t):
+            return np.zeros(0, np.int64), np.zeros(0)
+        row = self.common[t]
+        rare, shared = row < 0, row >= 0
+        starts = self.starts[t[rare]]
+        sizes = self.starts[t[rare] + 1] - starts
+        place = _spread(starts, sizes)
+        sums = np.bincount(self.example[place], self.weight[place] * np.repeat(w[rare], sizes), n).astype(np.float64, copy=False)
+        if without >= 0:
+            sums[without] = -np.inf
+        if shared.any():
+            row, v = row[shared], w[shared]
+            least = np.partition(sums, n - k)[n - k] if n > k else 0.0
+            bound = np.repeat(v @ self.most[row], BLOCK)[:n]
+            at = np.flatnonzero(sums + bound >= max(least, 0.0) - 1e-9)
+            if len(at) > 8 * k:  # in single precision first, then those that may be among the best
+                rough = sums + (v.astype(np.float32) @ self.rough[row])[:n]
+                at = np.flatnonzero(rough >= np.partition(rough, n - k)[n - k] - 1e-4)
+            best = sums[at] + v @ self.long[np.ix_(row, at)]
+        else:
+            at, best = np.arange(n), sums
+        keep = best > 0
+        at, best = at[keep], best[keep]
+        if len(best) > k:
+            near = best >= np.partition(best, len(best) - k)[len(best) - k] - 1e-9
+            at, best = at[near], best[near]
+        order = np.lexsort((at, -np.round(best, 12)))[:k]
+        return at[order], best[order]
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1 / (1.05 - np.minimum(cosines, 1))
@@ -212,9 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         df, n = np.zeros(size, np.int64), 0
         for batch in slices(batches, 0):
             for t in batch.column(0).to_pylist():
-                own = {place.get(w) for w in words_of(t)}
-                own.discard(None)
-                df[np.fromiter(own, np.int64, len(own))] += 1
+                own = place.keys() & set(words_of(t))
+                df[np.fromiter(map(place.__getitem__, own), np.int64, len(own))] += 1
                 n += 1
         held = np.flatnonzero(df)
         for at in range(0, len(held) + 1, 50_000):
