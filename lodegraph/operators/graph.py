@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import normalized
+from ..functions.vectors import norm, normalized
 from ..plans.query import Query
 from ..session import written
 
@@ -65,18 +65,23 @@ class Graph:
         return out
 
     def random_walk(self, seeds: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-        """(seed, id, mass): random walk with restart from each seed (id), scaled to sum 1 each round; vertices without edges lose their mass."""
+        """(seed, id, mass): random walk with restart from each seed (id), scaled to sum 1.
+
+        Edges go both ways, so no vertex that is reached loses mass, and scaling
+        changes nothing but for seeds without edges, which keep their own; so the
+        rounds are one plan, scaled at its end.
+        """
         deg = self.degrees()
-        hops = written(self.edges.join(deg, F.col("src") == F.col("id")).select("src", "dst", "deg"))
+        hops = written(self.edges.join(deg, F.col("src") == F.col("id")).select("src", "dst", (alpha / F.col("deg")).alias("share")))
         start = seeds.select(F.col("id").alias("seed")).distinct()
+        back = start.select("seed", F.col("seed").alias("id"), F.lit(1.0 - alpha).alias("mass"))
         now = start.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("mass"))
         for _ in range(rounds):
-            moved = now.join(hops, now["id"] == hops["src"]).select("seed", F.col("dst").alias("id"), (alpha * F.col("mass") / F.col("deg")).alias("mass"))
-            # Written, as it is read twice: for the totals and for the scaling.
-            summed = written(moved.unionByName(start.select("seed", F.col("seed").alias("id"), F.lit(1.0 - alpha).alias("mass"))).groupBy("seed", "id").agg(F.sum("mass").alias("mass")))
-            total = summed.groupBy("seed").agg(F.sum("mass").alias("t"))
-            now = summed.join(total, "seed").select("seed", "id", F.when(F.col("t") > 1e-30, F.col("mass") / F.col("t")).otherwise(F.col("mass")).alias("mass"))
-        return now
+            moved = now.join(hops, now["id"] == hops["src"]).select("seed", F.col("dst").alias("id"), (F.col("mass") * F.col("share")).alias("mass"))
+            now = moved.unionByName(back).groupBy("seed", "id").agg(F.sum("mass").alias("mass"))
+        now = written(now)
+        total = now.groupBy("seed").agg(F.sum("mass").alias("t"))
+        return now.join(total, "seed").select("seed", "id", F.when(F.col("t") > 1e-30, F.col("mass") / F.col("t")).otherwise(F.col("mass")).alias("mass"))
 
     def query_of(self, ids: list[int], edges: list[tuple[int, int]] | None = None) -> Query:
         """A query made of some vertices (with the edges between them, or given ones)."""
@@ -103,3 +108,25 @@ class Graph:
             if len(ids) == k:
                 return self.query_of(ids)
         raise ValueError(f"no connected query of {k} vertices was found in {tries} tries")
+
+    def sample_ball_query(self, k: int, seed: int = 42, hops: int = 2, tries: int = 20) -> Query:
+        """k vertices in the order of a shuffled breadth-first search within ``hops`` edges of a seeded start, vectors of length 0 left out; with the edges between them."""
+        good = self.vertices.where(norm("x") > 1e-12).select("id")
+        starts = [r["id"] for r in good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(tries).collect()]
+        for t, start in enumerate(starts):
+            spark = self.vertices.sparkSession
+            ball = self.context(spark.createDataFrame([(start,)], good.schema), hops).select("id").join(good, "id", "left_semi")
+            chosen, queue, seen = [], [start], {start}
+            while queue and len(chosen) < k:
+                at = queue.pop(0)
+                chosen.append(at)
+                near = self.edges.where(F.col("src") == at).select(F.col("dst").alias("id")).where(~F.col("id").isin(*seen)).join(ball, "id", "left_semi")
+                # Of a hub, no more than can still be chosen.
+                more = [r["id"] for r in near.orderBy(F.xxhash64(F.lit(seed), F.lit(t), F.lit(at), "id"), "id").limit(k).collect()]
+                seen.update(more)
+                queue += more
+            if len(chosen) == k:
+                query = self.query_of(chosen)
+                if query.edges:
+                    return query
+        raise ValueError(f"no query of {k} vertices was found in {tries} tries")

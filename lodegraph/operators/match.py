@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import angle, bounded_dot, dot, literal
+from ..functions.vectors import angle, bounded_dot, dot, literal, norm
 from ..plans.query import Query
 from ..session import written
 from .graph import Graph
@@ -25,8 +26,8 @@ def candidates(graph: Graph, query: Query, tau: float, degree_filter: bool = Fal
 
     The few query vectors go into the expression, so every vertex is read once
     and nothing is joined. Options prune only: degrees, angles to the query
-    vectors as landmarks (for unit vectors), bounds after blocks of the product.
-    single: compare in single precision.
+    vectors as landmarks (vectors that are not of unit length pass), bounds after
+    blocks of the product. single: compare in single precision.
     """
     limit = _float(tau) if single_tau else tau
     near = query.neighbours
@@ -38,11 +39,13 @@ def candidates(graph: Graph, query: Query, tau: float, degree_filter: bool = Fal
         score = bounded_dot("x", q, limit, blocks) if blocks else dot("x", literal(q))
         keep: Column = (score.cast("float") >= F.lit(limit).cast("float")) if single else score >= limit
         if landmarks:
-            import math
-
-            cap = math.acos(max(-1.0, min(1.0, limit))) + 1e-6
-            own = [math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(q, other, strict=True))))) for other in query.vectors]
-            keep = reduce(lambda a, b: a & b, [F.abs(angle(dot("x", literal(other))) - own[n]) <= cap for n, other in enumerate(query.vectors)], keep)
+            unit = [k for k, other in enumerate(query.vectors) if abs(math.fsum(e * e for e in other) - 1) < 1e-6]
+            if u in unit:
+                # Angles near 0 carry the rounding of the vectors' lengths magnified.
+                cap = math.acos(max(-1.0, min(1.0, limit))) + 5e-3
+                own = {k: math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(q, query.vectors[k], strict=True))))) for k in unit}
+                close = reduce(lambda a, b: a & b, [F.abs(angle(dot("x", literal(query.vectors[k]))) - own[k]) <= cap for k in unit])
+                keep = (close | (F.abs(norm("x") - 1) >= 1e-6)) & keep
         if degree_filter:
             keep = (F.col("deg") >= len(near[u])) & keep
         told.append(F.when(keep, F.struct(F.lit(u).alias("u"), score.alias("score"))))
@@ -93,7 +96,8 @@ def match(graph: Graph, query: Query, tau: float = 0.97, strategy: str = "early"
 
     The smallest candidate set is read first; each further query vertex joins
     along one edge to a placed neighbour, with the other edges to placed ones as
-    semi-joins in the same step. strategy "late" joins structure first and tests
+    semi-joins in the same step. Only data edges between candidates are read, and a
+    step's edges lead to that vertex's candidates only, so a hub costs no more than the candidates around it. strategy "late" joins structure first and tests
     cosines at the end; it returns the same rows. max_matches keeps the first
     mappings by q0, q1, ...; 0 keeps all.
     """
@@ -110,6 +114,9 @@ def match(graph: Graph, query: Query, tau: float = 0.97, strategy: str = "early"
         counts = {r["u"]: r["n"] for r in cand.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
         order = query.join_order([counts.get(u, 0) for u in range(k)])
     edges = graph.edges
+    if strategy == "early":
+        held = cand.select(F.col("v").alias("id")).distinct()
+        edges = written(graph.induced(held))
 
     def own(u: int) -> DataFrame:
         return cand.where(F.col("u") == u).select(F.col("v").alias(f"q{u}"), F.col("score").alias(f"s{u}"))
@@ -119,10 +126,9 @@ def match(graph: Graph, query: Query, tau: float = 0.97, strategy: str = "early"
     placed = [first]
     for u in order[1:]:
         back = [w for w in placed if w in near[u]]
-        out = out.join(edges.select(F.col("src").alias(f"q{back[0]}"), F.col("dst").alias(f"q{u}")), f"q{back[0]}")
+        step = edges.select(F.col("src").alias(f"q{back[0]}"), F.col("dst").alias(f"q{u}"))
+        out = out.join(step.join(own(u), f"q{u}") if strategy == "early" else step, f"q{back[0]}")
         out = out.where(reduce(lambda a, b: a & b, [F.col(f"q{u}") != F.col(f"q{w}") for w in placed]))
-        if strategy == "early":
-            out = out.join(own(u), f"q{u}")
         for w in back[1:]:
             out = out.join(edges.select(F.col("src").alias(f"q{w}"), F.col("dst").alias(f"q{u}")), [f"q{w}", f"q{u}"], "left_semi")
         placed.append(u)
@@ -149,10 +155,50 @@ def disjoint(found: DataFrame, k: int, other: list[int]) -> DataFrame:
     return found.where(~F.arrays_overlap(F.array(*[F.col(f"q{u}") for u in range(k)]), F.array(*[F.lit(v).cast("bigint") for v in other])))
 
 
-def roles_of_matches(found: DataFrame, k: int) -> DataFrame:
-    """(match_id, role, id): one row a match and query vertex, matches numbered by mapping."""
-    from pyspark.sql import Window
+def numbered(rows: DataFrame, keys: list[str], name: str = "match_id") -> DataFrame:
+    """rows with their places 1, 2, ... in the order of keys: sorted by ranges, counted by part, and numbered from each part's offset."""
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    marked = written(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each part
+    before, told = 0, []
+    for part, n in sizes:
+        told.append((part, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(told, "_part int, _before long")
+    return marked.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def roles_of_matches(found: DataFrame, k: int, number: bool = True) -> DataFrame:
+    """(match_id, role, id): one row a match and query vertex, matches numbered by mapping; without numbers if they aren't wanted."""
+    names = [f"q{u}" for u in range(k)]
+    rows = numbered(found.select(*names), names).select("match_id", *names) if number else found
+    return rows.select(*(["match_id"] if number else []), F.posexplode(F.array(*names)).alias("role", "id"))
 
+
+def mapping_key(k: int) -> Column:
+    """A mapping's ids, joined by commas."""
+    return F.concat_ws(",", *[F.col(f"q{u}").cast("string") for u in range(k)])
+
+
+def representatives(found: DataFrame, k: int, truth: list[int] | None = None) -> tuple[list | None, list | None]:
+    """(A, B): the mapping truth if it was found, else the best; and the best that shares no vertex with it. found has scores."""
+    names = [f"q{u}" for u in range(k)]
+    best = ranked(found, k, 1, truth)
+    first = best
+    if truth:
+        true = reduce(lambda a, b: a & b, [F.col(q) == t for q, t in zip(names, truth, strict=True)])
+        first = ranked(found.where(true), k, 1, truth)
+    a = first.collect() or best.collect()
+    if not a:
+        return None, None
+    b = ranked(disjoint(found, k, [a[0][q] for q in names]), k, 1, truth).collect()
+    return [a[0][q] for q in names], [b[0][q] for q in names] if b else None
+
+
+def truth_statistics(found: DataFrame, k: int, truth: list[int]) -> DataFrame:
+    """(n, truth_count, truth_first_id): matches, those that equal truth, and the least number of such a one (matches numbered by mapping)."""
     names = [f"q{u}" for u in range(k)]
-    numbered = found.withColumn("match_id", F.row_number().over(Window.orderBy(*names)))
-    return numbered.select("match_id", F.posexplode(F.array(*names)).alias("role", "id"))
+    same = reduce(lambda a, b: a & b, [F.col(q) == t for q, t in zip(names, truth, strict=True)])
+    before = reduce(lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.col(names[i]) == truth[i] for i in range(n)], F.col(names[n]) < truth[n]) for n in range(k)])
+    counts = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("truth_count"), F.count_if(before).alias("b"))
+    return counts.select("n", "truth_count", F.when(F.col("truth_count") > 0, F.col("b") + 1).alias("truth_first_id"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, keyword_list
 from ..functions.vectors import dot
+from ..session import written
+from .match import numbered
 
 
 def keyword_counts(docs: DataFrame, text_col: str = "text", least: int = 4) -> DataFrame:
@@ -14,25 +20,70 @@ def keyword_counts(docs: DataFrame, text_col: str = "text", least: int = 4) -> D
     return docs.select(F.explode(keyword_list(clean(text_col), least)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: int = 2, min_df: int = 2, max_df: float = 0.9, max_features: int = 80_000) -> DataFrame:
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: int = 2, min_df: int = 2, max_df: float = 0.9, max_features: int = 80_000, stop_words: Sequence[str] = ()) -> DataFrame:
     """(id, term, tf, weight): L2-normalised tf * (ln((1 + n) / (1 + df)) + 1) of words and runs of up to ``grams`` words.
 
     Terms in fewer than min_df documents or over the share max_df go; of the
-    rest the max_features most frequent stay, ties by term.
+    rest the max_features most frequent stay, ties by term. Ids must differ.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    base = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
+    # Texts are dealt by id once, as words; else the pattern would be run again for each word of a run.
+    base = docs.select(F.col(id_col).alias("id"), words.alias("w")).repartition("id")
     terms = F.col("w")
     for g in range(2, grams + 1):
         more = F.expr(f"CASE WHEN size(w) >= {g} THEN transform(sequence(1, size(w) - {g - 1}), i -> array_join(slice(w, i, {g}), ' ')) ELSE array() END")
         terms = F.concat(terms, more)
+    # A document's terms are counted where it lies and written as one row.
     tf = base.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = written(tf.groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("t")))
+    tf = rows.select("id", F.explode("t").alias("s")).select("id", "s.term", "s.tf")
     n = docs.count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     df = df.orderBy(F.desc("all"), "term").limit(max_features)
-    raw = tf.join(df, "term").select("id", "term", "tf", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, "id").select(F.col("id").alias(id_col), "term", "tf", (F.col("w") / F.col("len")).alias("weight"))
+    raw = tf.join(F.broadcast(df), "term").select("id", "term", "tf", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    told = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.struct("term", "tf", "w")).alias("t"))
+    return told.select("id", "len", F.explode("t").alias("s")).select(F.col("id").alias(id_col), "s.term", "s.tf", (F.col("s.w") / F.col("len")).alias("weight"))
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: int = 128, grams: int = 2, min_df: int = 2, max_df: float = 0.9, max_features: int = 80_000, stop_words: list[str] | None = None) -> DataFrame:
+    """(id, x): TF-IDF vectors without stop words (Spark's English ones unless given), projected on their ``dims`` leading right singular vectors, of unit length.
+
+    A text without any kept term has the zero vector. Signs and rotations of
+    singular vectors are free, cosines are not.
+    """
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import StopWordsRemover
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
+    weights = written(tfidf(docs, id_col, text_col, grams, min_df, max_df, max_features, stop))
+    terms = written(numbered(weights.select("term").distinct(), ["term"], "n"))  # at most max_features
+    size = terms.count()
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dims)
+    if not size:
+        return docs.select(id_col, zero.alias("x"))
+    rows = written(weights.join(F.broadcast(terms), "term").groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct((F.col("n") - 1).cast("int").alias("i"), F.col("weight").alias("w")))).alias("v")))
+    sparse = rows.select("v.i", "v.w").rdd.map(lambda r: Vectors.sparse(size, r[0], r[1])).persist(StorageLevel.MEMORY_AND_DISK)  # read in every iteration
+    v = RowMatrix(sparse, numCols=size).computeSVD(min(dims, size, rows.count()), False).V.toArray()
+    sparse.unpersist()
+    sent = docs.sparkSession.sparkContext.broadcast(v)  # at most max_features x dims
+
+    @F.pandas_udf("array<float>")
+    def projected(i: pd.Series, w: pd.Series) -> pd.Series:
+        v = sent.value
+        out = []
+        for places, weight in zip(i, w, strict=True):
+            x = np.zeros(dims)
+            x[: v.shape[1]] = np.asarray(weight) @ v[np.asarray(places)]
+            length = np.sqrt(x @ x)
+            out.append((x / length if length > 1e-30 else x).astype(np.float32))
+        return pd.Series(out)
+
+    told = rows.select(F.col("id").alias("_id"), projected("v.i", "v.w").alias("x"))
+    return docs.join(told, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("x", zero).alias("x"))
 
 
 def cohesion(vertices: DataFrame, ids: list[int]) -> DataFrame:

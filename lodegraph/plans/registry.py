@@ -39,8 +39,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def data_vertices(spark: SparkSession, sf_dir: str) -> Graph:
+    """The vertices alone, for what reads no edges."""
+    return Graph(read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), None)
+
+
 def data_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    v = data_vertices(spark, sf_dir).vertices
     n = v.count()
     line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % n).alias("p")).distinct()
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p").alias("dst"))
@@ -90,20 +95,20 @@ def _graph_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("vertex_norms", f"WITH {_BASE} SELECT id, round(sqrt(list_dot_product(x, x)), 5) AS norm, sqrt(list_dot_product(x, x)) > 1e-12 AS nonzero FROM vx")
 def _vertex_norms(spark: SparkSession, d: str) -> DataFrame:
-    return data_graph(spark, d).vertices.select("id", F.round(norm("x"), 5).alias("norm"), (norm("x") > 1e-12).alias("nonzero"))
+    return data_vertices(spark, d).vertices.select("id", F.round(norm("x"), 5).alias("norm"), (norm("x") > 1e-12).alias("nonzero"))
 
 
 @_query("normalized_vectors", f"WITH {_BASE} SELECT id, round(list_sum(list_transform(x, lambda z: z / sqrt(list_dot_product(x, x)))), 4) AS total FROM vx")
 def _normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = data_graph(spark, d).vertices.select("id", normalized("x").alias("x"))
+    v = data_vertices(spark, d).vertices.select("id", normalized("x").alias("x"))
     return v.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda s, e: s + e.cast("double")), 4).alias("total"))
 
 
 _CAND = f"WITH {_BASE}, {_cand_sql(4)} SELECT u, v, round(score, 4) AS score FROM cand"
 
 
-def _cand(spark: SparkSession, d: str, **options: object) -> tuple[Graph, Query, DataFrame]:
-    g = data_graph(spark, d)
+def _cand(spark: SparkSession, d: str, edges: bool = True, **options: object) -> tuple[Graph, Query, DataFrame]:
+    g = (data_graph if edges else data_vertices)(spark, d)
     q = shape_query(g, "tailed")
     return g, q, match.candidates(g, q, TAU, **options)
 
@@ -113,7 +118,7 @@ def _rounded(c: DataFrame) -> DataFrame:
 
 
 for _name, _options in (("semantic_candidates", {}), ("landmark_filter", {"landmarks": True}), ("block_bound_filter", {"blocks": 8})):
-    _query(_name, _CAND)(lambda spark, d, o=_options: _rounded(_cand(spark, d, **o)[2]))
+    _query(_name, _CAND)(lambda spark, d, o=_options: _rounded(_cand(spark, d, False, **o)[2]))
 
 
 @_query("degree_filter", f"WITH {_BASE}, {_cand_sql(4)} SELECT u, v, round(score, 4) AS score FROM cand JOIN deg ON deg.id = v WHERE deg >= CASE u WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END")
@@ -129,7 +134,7 @@ def _candidate_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("role_masks", f"WITH {_BASE}, {_cand_sql(4)} SELECT v, bit_or(CAST(1 AS BIGINT) << u) AS mask FROM cand GROUP BY v")
 def _role_masks(spark: SparkSession, d: str) -> DataFrame:
-    return match.roles(_cand(spark, d)[2])
+    return match.roles(_cand(spark, d, False)[2])
 
 
 _QE = "qe AS (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 2), (2, 1), (0, 2), (2, 0), (2, 3), (3, 2)) t(u, w))"
@@ -159,10 +164,10 @@ def _arc(spark: SparkSession, d: str) -> DataFrame:
     return match.arc_consistent(*_cand(spark, d)).select("u", "v")
 
 
-def _found(spark: SparkSession, d: str, shape: str, **options: object) -> tuple[Graph, Query, DataFrame]:
+def _found(spark: SparkSession, d: str, shape: str, tau: float = TAU, **options: object) -> tuple[Graph, Query, DataFrame]:
     g = data_graph(spark, d)
     q = shape_query(g, shape)
-    return g, q, match.match(g, q, TAU, **options)
+    return g, q, match.match(g, q, tau, **options)
 
 
 for _shape in ("path3", "triangle", "path4", "star4", "cycle4", "tree5", "tailed"):
@@ -194,8 +199,8 @@ def _best_disjoint(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("vector_range_single_vertex", f"WITH {_BASE}, {_cand_sql(1)} SELECT v AS q0 FROM cand")
 def _single(spark: SparkSession, d: str) -> DataFrame:
-    g = data_graph(spark, d)
-    return match.match(g, g.query_of([0], []), TAU)
+    g = data_vertices(spark, d)
+    return match.candidates(g, g.query_of([0], []), TAU).select(F.col("v").alias("q0"))
 
 
 _SEEDS = f"WITH {_BASE}, {_cand_sql(1)}, seed AS (SELECT v AS id FROM cand)"
@@ -231,6 +236,14 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
     return g.context(s, 1)
 
 
+def _context_sql(cap: int) -> str:
+    """Two hops of context, of each vertex no more than its first neighbours."""
+    near = f"few AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM e) t WHERE n <= {cap})"
+    first = "r1 AS (SELECT DISTINCT dst AS id FROM few WHERE src IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM seed))"
+    second = "r2 AS (SELECT DISTINCT dst AS id FROM few WHERE src IN (SELECT id FROM r1) AND dst NOT IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM r1))"
+    return f"{_SEEDS}, {near}, {first}, {second} SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM r1 UNION ALL SELECT id, 2 FROM r2"
+
+
 def _walk_sql(rounds: int) -> str:
     out = f"{_SEEDS}, w0 AS (SELECT id AS seed, id, 1.0::DOUBLE AS mass FROM seed)"
     for n in range(rounds):
@@ -252,26 +265,26 @@ def _cost_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("rank_neighbourhood_cost")
-def _nema(spark: SparkSession, d: str) -> DataFrame:
+def _neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     g = data_graph(spark, d)
     return ranked.neighbourhood_cost(g, shape_query(g, "tailed"), TAU)
 
 
 @_query("rank_loss_search")
-def _gfinder(spark: SparkSession, d: str) -> DataFrame:
+def _loss(spark: SparkSession, d: str) -> DataFrame:
     g = data_graph(spark, d)
-    return ranked.loss_search(g, shape_query(g, "tailed"), TAU, beam=1000)
+    return ranked.loss_search(g, shape_query(g, "tailed"), TAU)
 
 
 @_query("rank_proximity_search")
-def _mage(spark: SparkSession, d: str) -> DataFrame:
+def _proximity(spark: SparkSession, d: str) -> DataFrame:
     g = data_graph(spark, d)
     return ranked.proximity_search(g, shape_query(g, "tailed"), TAU)
 
 
 @_query("query_cohesion", f"WITH {_BASE}, s AS (SELECT * FROM vx WHERE id < 5), c AS (SELECT list(m ORDER BY k) AS c FROM (SELECT k, avg(z) AS m FROM (SELECT unnest(x) AS z, unnest(range(len(x))) AS k FROM s) y GROUP BY k) t) SELECT (SELECT round(avg(list_dot_product(a.x, b.x)), 4) FROM s a JOIN s b ON a.id < b.id) AS pair_avg, (SELECT round(min(list_dot_product(s.x, c.c) / sqrt(list_dot_product(c.c, c.c))), 4) FROM s, c) AS centroid_min")
 def _cohesion(spark: SparkSession, d: str) -> DataFrame:
-    return ops.cohesion(data_graph(spark, d).vertices, list(range(5))).select(F.round("pair_avg", 4).alias("pair_avg"), F.round("centroid_min", 4).alias("centroid_min"))
+    return ops.cohesion(data_vertices(spark, d).vertices, list(range(5))).select(F.round("pair_avg", 4).alias("pair_avg"), F.round("centroid_min", 4).alias("centroid_min"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in txt.STOP_WORDS)

@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir; on one machine, one of our own where it is unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodegraph.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lodegraph-")
         spark.conf.set("lodegraph.shared.dir", where)
     return where.rstrip("/")
