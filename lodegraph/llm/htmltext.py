@@ -12,8 +12,8 @@ come from a seeded writer of page layouts in this folder.
 Text that stands directly in the body (or outside it, as in html without any
 tag) is cut at block elements, and each stretch is a node of its own, with a
 marginal of its own. What stands in hidden elements (buttons, selects, objects
-and the like) is parsed as any subtree, so one that is never closed ends with
-its parent, but is never main text.
+and the like) is parsed, so that one that is never closed ends with its parent,
+but is neither main text nor evidence.
 
 Defined results: a null or empty html has the empty text; broken markup and
 pages cut off anywhere are read as far as they go. Rows that repeat each keep a
@@ -78,18 +78,20 @@ class Page:
         self.parent, self.tag, self.attrs = [-1], ["html"], [""]
         self.blocks: list[tuple[int, str]] = []  # (element, raw text) in page order
         self.text, self.link, self.children, self.depth, self.hidden = [0], [0], [0], [0], [False]
-        stack, inside, owner = [0], 0, 0
+        stack, names, inside, owner = [0], ["html"], 0, 0  # open elements' nodes and names
         buffer: list[str] = []
         held = linked = 0  # code points in the buffer, and those of them in links
         pos, end = 0, len(source)
 
         def node_of(name: str, attrs: str) -> int:
+            if self.hidden[stack[-1]]:
+                return stack[-1]  # what stands in a hidden element is part of it
             self.parent.append(stack[-1])
             self.children[stack[-1]] += 1
             self.depth.append(self.depth[stack[-1]] + 1)
             self.tag.append(name)
             self.attrs.append(attrs)
-            self.hidden.append(self.hidden[stack[-1]] or name in RAW or name in HIDDEN)
+            self.hidden.append(name in RAW or name in HIDDEN)
             self.text.append(0)
             self.link.append(0)
             self.children.append(0)
@@ -100,12 +102,13 @@ class Page:
             if not buffer:
                 return
             raw = "".join(buffer)
-            told = bool(raw) and not raw.isspace()
-            at = node_of("p", "") if told and self.tag[owner] in ("html", "body") else owner
-            self.text[at] += held
-            self.link[at] += linked
-            if told:
-                self.blocks.append((at, raw))
+            if not self.hidden[owner]:
+                told = bool(raw) and not raw.isspace()
+                at = node_of("p", "") if told and self.tag[owner] in ("html", "body") else owner
+                self.text[at] += held
+                self.link[at] += linked
+                if told:
+                    self.blocks.append((at, raw))
             buffer.clear()
             held = linked = 0
 
@@ -143,8 +146,8 @@ class Page:
             flush()
             if closing:
                 for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        del stack[depth:]
+                    if names[depth] == name:
+                        del stack[depth:], names[depth:]
                         inside = 0
                         break
                 continue
@@ -153,19 +156,22 @@ class Page:
                     self.attrs[0] = m[3]
                 continue
             if name in _ENDS_P:
+                if names[-1] == "p":
+                    stack.pop()
+                    names.pop()
                 for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == "p":
-                        del stack[depth:]
-                        break
-                    if self.tag[stack[depth]] not in ("p",):
-                        break
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] in _SHUT:
-                        del stack[depth:]
+                    if names[depth] in _SHUT:
+                        del stack[depth:], names[depth:]
                         break
             for other in _CLOSES.get(name, ()):
-                if self.tag[stack[-1]] == other:
+                if names[-1] == other:
                     stack.pop()
+                    names.pop()
+            if name == "body" or name == "head":
+                del stack[1:], names[1:]
+            elif names[-1] == "head" and name not in (*RAW, *HIDDEN):  # the head ends where content starts
+                stack.pop()
+                names.pop()
             node = node_of(name, m[3])
             if name in RAW:
                 if not m[3].rstrip().endswith("/"):
@@ -173,11 +179,9 @@ class Page:
                     stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
                     pos = stop.end() if stop else end
                 continue
-            if name == "body" or name == "head":
-                while len(stack) > 1:
-                    stack.pop()
             if not m[3].rstrip().endswith("/"):
                 stack.append(node)
+                names.append(name)
         flush()
 
 
