@@ -6,6 +6,9 @@ is looked up under itself and under each value that has one of its 0 bits set
 (of two segments that differ in one bit, one has the 0 there). What meets in a
 table is checked on all 64 bits; a table entry's rows are dealt by the segment,
 read as a sorted stream, and told as a tree of links rather than as pairs.
+Segment values that over one in ``HOT`` fingerprints share (fewer than 2 ``HOT``
+of them), and the values one bit above these, are dealt by each byte of the other
+segment as well: of its four bytes, one is equal in any two that are near.
 Connected components follow from the links.
 
 Texts that are alike by ``similarity`` (Jaccard, of their sets of shingles) can
@@ -41,6 +44,8 @@ SEED = 42
 _LOW = np.uint64(0xFFFFFFFF)
 #: Rows of a table entry that are compared all with all; larger entries are split again by 8 bits of the other segment.
 DIRECT = 2048
+#: Shares of all fingerprints from which a segment's value is split further, and rows from which that is worth it.
+HOT, WORTH = 500, 100_000
 
 
 #: Fingerprints of texts that are alike: words of 64 bits, and bits of a segment.
@@ -135,6 +140,16 @@ def linked(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return [(i, find(i)) for i in range(len(fps)) if find(i) != i]
 
 
+def _hot_values(fps: DataFrame) -> list[int]:
+    """Segment values (value << 1 | segment) that many of the fingerprints share, and those one bit above them."""
+    total = fps.count()
+    if total < WORTH:
+        return []
+    own = F.array(*[F.call_function("shiftleft", F.shiftrightunsigned("fp", 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1)).bitwiseOR(F.lit(k).cast("long")) for k in range(2)])
+    found = fps.select(F.explode(own).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).collect()
+    return sorted({r["key"] for r in found} | {r["key"] | 1 << b for r in found for b in range(1, 33)})
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column fp, enough of them to join all that are within `bits` bits.
 
@@ -150,16 +165,24 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         return F.transform(F.concat(own, F.transform(flips, lambda x: F.struct(F.lit(False).alias("own"), x.alias("key")))), lambda s: F.struct(s["own"].alias("own"), F.call_function("shiftleft", s["key"], F.lit(1)).bitwiseOR(F.lit(segment).cast("long")).alias("key")))
 
     entries = fps.select("fp", F.explode(F.concat(probe(0), probe(1))).alias("e")).select("e.key", "fp", "e.own")
+    entries = entries.withColumn("key", F.col("key") * 4096)
+    if hot := _hot_values(fps):
+        known = F.broadcast(fps.sparkSession.createDataFrame([(k * 4096,) for k in hot], "hot long"))  # at most 2 * HOT * 33 rows
+        of_other = F.when(F.shiftright("key", 12).bitwiseAND(F.lit(1)) == 1, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
+        parts = F.array(*[F.shiftright(of_other, 8 * k).bitwiseAND(F.lit(255)) + (1 + 256 * k) for k in range(4)])
+        entries = entries.join(known, F.col("key") == F.col("hot"), "left")
+        entries = entries.select(F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part"), "key", "fp", "own").select((F.col("key") + F.col("part")).alias("key"), "fp", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, owns = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        for batch in [*batches_and_end(batches)]:
-            if batch is not None:
-                keys = np.concatenate([keys, batch.column(0).to_numpy()])
-                values = np.concatenate([values, batch.column(1).to_numpy().view(np.uint64)])
-                owns = np.concatenate([owns, batch.column(2).to_numpy(zero_copy_only=False)])
-            if not len(keys):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches_and_end(batches):
+            if batch is not None and batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
+                if held[0][0][0] == held[-1][0][-1]:
+                    continue  # the same key goes on
+            if not held:
                 continue
+            keys, values, owns = (np.concatenate(c) for c in zip(*held, strict=True))
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends = np.r_[starts[1:], len(keys)]
             told = len(keys) if batch is None else starts[-1]  # the last key may go on in the next batch
@@ -172,7 +195,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             if out:
                 got = np.array(out, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-            keys, values, owns = keys[told:], values[told:], owns[told:]
+            held = [(keys[told:], values[told:], owns[told:])] if told < len(keys) else []
 
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
@@ -239,7 +262,7 @@ def similar_pairs(nodes: DataFrame, similarity: float = SIMILAR, held: int = 500
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, owns = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, bool)
-        for batch in [*batches_and_end(batches)]:
+        for batch in batches_and_end(batches):
             if batch is not None:
                 parts = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
                 keys, values, owns = (np.concatenate(x) for x in zip((keys, values, owns), parts, strict=True))
