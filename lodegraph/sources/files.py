@@ -23,9 +23,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     if not heads.limit(1).count():
         raise ValueError(f"{path} is empty")
     fields = F.split(F.regexp_replace("value", "\r", ""), ",", -1)
-    # A header has no fields, wherever the optimizer moves what reads them.
-    rows = raw.join(F.broadcast(heads), "file").select("n", F.when(F.col("n") > F.col("head"), fields).alias("f"))
-    return rows.where((F.col("f")[0] != "") & (F.size("f") >= 2))
+    # Lines that are left out have no fields, wherever the optimizer moves what reads them.
+    kept = (F.col("n") > F.col("head")) & (fields[0] != "") & (F.size(fields) >= 2)
+    return raw.join(F.broadcast(heads), "file").select("n", F.when(kept, fields).alias("f")).where(F.col("f").isNotNull())
 
 
 def read_vertices(spark: SparkSession, path: str) -> DataFrame:
