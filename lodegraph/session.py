@@ -40,9 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Cut lineage by a table written in the shared folder; a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
