@@ -11,7 +11,7 @@ Base spans always stay; further spans stay if they meet no base span and the
 classifier holds them true.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat
-each keep a row. Where two spans meet in redaction, the text they cover together
+each keep a row; an empty table has no rows. Where two spans meet in redaction, the text they cover together
 becomes one mark of the first's kind.
 """
 
@@ -187,9 +187,13 @@ def train(cells: dict[tuple[int, int, int], int]) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def detect(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """The documents with a column of spans (kind, start, end, probability), by kind and start."""
-    marked = materialize(docs.withColumn(spans_col, candidates(F.coalesce(text_col, F.lit("")))))
+def detect(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", keep_text: bool = True) -> DataFrame:
+    """The documents with a column of spans (kind, start, end, probability), by kind and start; a column of that name gives way.
+
+    Without ``keep_text``, the texts are neither written nor returned.
+    """
+    marked = docs.withColumn(spans_col, candidates(F.coalesce(text_col, F.lit(""))))
+    marked = materialize(marked if keep_text or spans_col == text_col else marked.drop(text_col))
     rows = marked.select(F.explode(F.col(spans_col)).alias("s")).groupBy("s.k", "s.votes", "s.size").count().collect()  # at most 8 x 81 x 4
     w, bias = train({(r["k"], r["votes"], r["size"]): r["count"] for r in rows})
     at = len(KINDS)
@@ -223,7 +227,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE]))
