@@ -15,6 +15,7 @@ are read, so further columns of any name do no harm.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,28 +106,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
     """Rows (part, id, text, own) so that, in a part, by descending id, each row's next row is its next document.
 
-    Texts are dealt once, by ranges of the id. The first row of each part is
-    also given to the part before it (own = false), the first of all to the
-    last; there are as many of these as parts.
+    Texts are dealt once, by ranges of the id, and those without an id by ranges
+    of the text's hash, which orders rows of one id. The first row of each part
+    is also given to the part before it (own = false), the first of all to the
+    last; there are as many of these as parts (and rows that repeat them).
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("t")  # equal ids stand in the order of their texts' hashes
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
-    ranges = d.select(F.percentile_approx("i", F.array(*[F.lit(x / parts) for x in range(1, parts)]), 10000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(ranges or []), reverse=True)
-    # Part p holds ids in (bounds[p], bounds[p - 1]]; nulls go to the last.
+    at = F.array(*[F.lit(x / parts) for x in range(1, max(parts, 2))])
+    ranges, named, total = d.select(F.percentile_approx("i", at, 10000), F.count("i"), F.count(F.lit(1))).first()
+    bounds = sorted(set(ranges or []), reverse=True) if parts > 1 else []
+    unnamed = max(1, math.ceil(parts * (total - named) / max(1, total)))
+    # Part p holds ids in (bounds[p], bounds[p - 1]]; the parts behind them rows without an id.
     part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b >= F.col("i"))), F.lit(len(bounds))) if bounds else F.lit(0)
-    part = F.when(F.col("i").isNull(), F.lit(len(bounds))).otherwise(part).cast("int")
+    behind = len(bounds) + 1 + F.floor((F.shiftright(tie, 33) + (1 << 30)) * unnamed / float(1 << 31))
+    part = F.when(F.col("i").isNull(), behind).otherwise(part).cast("int")
     keyed = d.withColumn("p", part)
-    # The first id of each part that has rows; ids only, a row for each part.
-    heads = sorted(((r["p"], r["i"]) for r in keyed.groupBy("p").agg(F.max("i").alias("i")).collect()), key=lambda r: r[0])
+    # The first row of each part that has rows; ids and hashes only, a row for each part.
+    place = F.struct(F.col("i").isNotNull().alias("named"), "i", F.bitwise_not(tie).alias("tie"))
+    heads = sorted(((r["p"], r["h"]["i"], r["h"]["tie"]) for r in keyed.groupBy("p").agg(F.max(place).alias("h")).collect()), key=lambda r: r[0])
     if not heads:
         return d.select(F.lit(0).alias("p"), "i", tie.alias("tie"), "t", F.lit(True).alias("own"))
-    to = spark.createDataFrame([(i, heads[n - 1][0] if n else heads[-1][0]) for n, (_, i) in enumerate(heads)], "hi long, hp int")
-    far = keyed.join(F.broadcast(to), F.col("i").eqNullSafe(F.col("hi")), "left")
+    to = spark.createDataFrame([(p, i, ~h, heads[n - 1][0] if n else heads[-1][0]) for n, (p, i, h) in enumerate(heads)], "op int, hi long, ht long, hp int")
+    far = keyed.withColumn("tie", tie).join(F.broadcast(to), (F.col("p") == F.col("op")) & F.col("i").eqNullSafe(F.col("hi")) & (F.col("tie") == F.col("ht")), "left")
     both = F.when(F.col("hp").isNotNull(), F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("own")), F.struct(F.col("hp").alias("p"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("own"))))
-    return far.select("i", tie.alias("tie"), "t", F.explode(both).alias("x")).select("x.p", "i", "tie", "t", "x.own")
+    return far.select("i", "tie", "t", F.explode(both).alias("x")).select("x.p", "i", "tie", "t", "x.own")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:

@@ -126,6 +126,23 @@ def test_winnow_edited_texts(spark):
             assert 0 <= near <= 1 and (near == 1 if p == q else near == 0 if not p & q else 0 < near < 1)
 
 
+def test_winnow_rows_without_ids(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, None, 5, 6]), "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for _ in range(300)] + [(None, "same")] * 40 + [(7, "same")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {x["text"]: x["h"] for x in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    line = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]]))
+    want = []
+    for (i, a), (j, b) in zip(line, line[1:] + line[:1], strict=True):
+        half = len(a) // 2
+        want.append((i, hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest(), j))
+    for parts in (1, 7):
+        got = [(x["doc_id"], x["edited_sha256"], x["next_id"]) for x in winnow.edited_pairs(d.repartition(3)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def plain_fingerprint(text, n):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
     if not words:
