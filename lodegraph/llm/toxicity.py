@@ -94,7 +94,7 @@ class Index:
         # Like examples side by side give tight blocks; the order is one of contents, with ids last.
         rows.sort(key=lambda r: (int(r[1][np.argmax(r[2])]), r[0], r[1].tobytes(), r[2].tobytes(), r[3]))
         self.labels = np.array([r[0] for r in rows], np.float64)
-        self.ids = [r[3] for r in rows]
+        self.ids = np.array([r[3] for r in rows], np.int64)
         self.rows = [(r[1], r[2]) for r in rows]
         sizes = np.array([len(t) for t, _ in self.rows], np.int64)
         term = np.concatenate([t for t, _ in self.rows]) if rows else np.zeros(0, np.int64)
@@ -250,8 +250,11 @@ def scores(index: Index, spark: SparkSession, text: Column, evidence: bool = Fal
     def told(texts: pa.Array) -> pa.Array:
         index = sent.value
         got = [index.score(t) for t in texts.to_pylist()]
-        shape = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])))])
-        return pa.array([{"score": s, "evidence": [{"id": index.ids[a], "label": int(index.labels[a]), "cosine": float(c)} for a, c in zip(at, cosines, strict=True)]} for s, at, cosines in got], shape)
+        ends = np.cumsum([0, *(len(at) for _, at, _ in got)], dtype=np.int32)
+        at = np.concatenate([at for _, at, _ in got]) if got else np.zeros(0, np.int64)
+        cosines = np.concatenate([c for _, _, c in got]) if got else np.zeros(0)
+        each = pa.StructArray.from_arrays([pa.array(index.ids[at]), pa.array(index.labels[at].astype(np.int32)), pa.array(cosines)], ["id", "label", "cosine"])
+        return pa.StructArray.from_arrays([pa.array([s for s, _, _ in got], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), each)], ["score", "evidence"])
 
     return (told if evidence else plain)(F.coalesce(text, F.lit("")))
 
