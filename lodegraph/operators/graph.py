@@ -116,6 +116,8 @@ class Graph:
         for t, start in enumerate(starts):
             spark = self.vertices.sparkSession
             ball = self.context(spark.createDataFrame([(start,)], good.schema), hops).select("id").join(good, "id", "left_semi")
+            if ball.limit(k).count() < k:
+                continue
             chosen, queue, seen = [], [start], {start}
             while queue and len(chosen) < k:
                 at = queue.pop(0)
