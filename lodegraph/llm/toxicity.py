@@ -84,7 +84,7 @@ class Index:
 
     def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple]):
         """examples: (id, label, terms, counts)."""
-        self.terms, self.n_terms = terms, len(terms)
+        self.terms, self.n_terms, self.n_examples = terms, len(terms), len(examples)
         n1 = sum(e[1] for e in examples)
         self.base = (n1 + 0.5) / (len(examples) + 1)
         self.stretch = idf * (self.explained(examples) + FLOOR)

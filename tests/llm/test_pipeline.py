@@ -79,6 +79,10 @@ def test_empty_tables_and_whole_run(spark, tables, tmp_path):
     plain = bpe.pieces(bpe.default_path())
     assert 6 not in text and 200 not in text and 300 not in text and 301 not in text and 302 in text and 1 in text
     assert text[2] == bpe.encoded(rows[2][1], plain)[1] and sum(x["doc_id"] == 3 for x in out) == 1
+    for name in ("labels", "benchmark"):  # without these all documents stay
+        spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    d = spark.read.parquet(f"{where}/documents.parquet")
+    assert cp.drop_toxic(spark, d, f"{tmp_path}/none").count() == cp.drop_contaminated(spark, d, f"{tmp_path}/none").count() == len(rows)
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
