@@ -13,10 +13,15 @@ Connected components follow from the links.
 
 Texts that are alike by ``similarity`` (Jaccard, of their sets of shingles) can
 differ in more bits than a ball in half of 64 bits can hold. ``similar`` takes
-``WORDS`` times 64 bits, cut into segments of 24 bits with balls of one bit, and
-the complete distance tells how alike two texts are: near enough is a link, too
-far is none, and between them the shingles themselves decide. At a similarity of
-exactly 0.8 a pair meets in some table with a probability of 0.92, at 0.85 of 0.99.
+``WORDS`` times 64 bits, cut into segments of 24 bits with balls of one bit; of what
+meets there and is near enough by the complete distance, the shingles themselves
+decide. Bits of fingerprints follow the similarity only by chance, so this leaves
+links out, and an exact search finds the rest: of two sets of n and m shingles that
+are alike, the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 in any common order
+share one. Texts that links join already are not compared there; others must pass
+bounds that no two texts that are alike can fail (sizes, places of what is shared, and
+parities: one bit differs at most for each shingle that only one of them has), and
+then the shingles themselves decide again. No link rests on fingerprints alone.
 
 Defined results: a null text counts as empty; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle has make one
@@ -50,6 +55,12 @@ HOT, WORTH = 500, 100_000
 
 #: Fingerprints of texts that are alike: words of 64 bits, and bits of a segment.
 WORDS, SEGMENT, SIMILAR_SHINGLE, SIMILAR = 9, 24, 5, 0.8
+#: Texts whose shingles are counted to put frequent ones last, counts from which one is frequent, and the most of these; only an order hangs on this, no result.
+SAMPLE, FREQUENT, ORDERED = 10_000, 3, 200_000
+#: Shingles are matched by so many bits, and then compared whole; up to so many texts to compare are looked up by a broadcast of their hashes.
+MATCHED, LOOKUP = (1 << 40) - 1, 1_000_000
+#: Rows, or pairs of them, that are compared at once.
+STRETCH = 1 << 20
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -76,7 +87,10 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def wide_fingerprint(text: str, shingle: int = SIMILAR_SHINGLE) -> list[int]:
     """``WORDS`` words over the set of shingles, each by another hash."""
-    h = np.unique(shingle_hashes(text, shingle))
+    return _wide(np.unique(shingle_hashes(text, shingle)))
+
+
+def _wide(h: np.ndarray) -> list[int]:
     out = []
     for k in range(WORDS):
         v = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
@@ -299,53 +313,174 @@ def similar_pairs(nodes: DataFrame, similarity: float = SIMILAR, held: int = 500
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, key_col: str, text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
-    """(key, n, component): each key, in how many rows it stands, and the least key that links reach; keys of a text must be its own."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    middle, spread = 64 * WORDS * share, math.sqrt(64 * WORDS * share * (1 - share))
-    sure, maybe = round(middle - 3 * spread), round(middle + 2 * spread)
-    kind = docs.schema[key_col].dataType.simpleString()
+def _set_id(own: np.ndarray) -> int:
+    """A set of shingles, as a signed bigint."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def _prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, rare ones first: two sets that are alike share one of these."""
+    n = len(own)
+    first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not n or not len(often):
+        return own[:first]
+    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+    known = often[at] == own
+    rare = own[~known]
+    if len(rare) < first:
+        rare = np.concatenate((rare, own[known][np.lexsort((own[known], counts[at[known]]))]))
+    return rare[:first]
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Of the shingles whose low bits are i, whether there is an odd number; a power of two of bits, about one for each shingle."""
+    bits = 64 << max(0, (len(own) - 1) // 64).bit_length()
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            wide = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0]), pa.array(list(wide), pa.list_(pa.int64()))], ["key", "fp", "wide"])
+
+def _least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that only one of two sets has, at least, by their parities; the longer is folded to the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count((np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).view(np.uint64)).sum())  # of signed ones it counts the magnitude
+
+
+def _often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the texts of column t, sorted, and their counts."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            own = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["h"])
+
+    share = math.ceil(1_000_000 * min(1, SAMPLE / max(1, texts.count())))
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share).distinct()
+    found = some.mapInArrow(told, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    found = found.orderBy(F.desc("n"), "h").limit(ORDERED).toArrow()
+    often, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(often)
+    return often[order], counts[order]
+
+
+def _sharing(nodes: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets of nodes (id, size, prefix) that share a shingle of their prefixes, are in different components of part (node, root), and may be alike by sizes and places."""
+
+    def pairs(keys: np.ndarray, roots: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Rows are sorted by key and root: the others of a row's key and of later roots stand after its run.
+        at = np.arange(len(keys))
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        run = np.r_[new[1:] | (roots[1:] != roots[:-1]), True]
+        run_end = np.flatnonzero(run)[np.cumsum(run) - run] + 1
+        key_end = np.r_[np.flatnonzero(new), len(keys)][np.cumsum(new)]
+        upto = np.cumsum(key_end - run_end)
+        start = 0
+        while start < len(at):
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + STRETCH, "right")))
+            n = (key_end - run_end)[start:stop]
+            x = np.repeat(at[start:stop], n)
+            y = run_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            n, m = sizes[x], sizes[y]
+            both = 1 + np.minimum(n - places[x], m - places[y]) - 1
+            near = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (both * (1 + similarity) >= similarity * (n + m) - 1e-9)
+            if near.any():
+                got = np.unique(np.stack((np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+            start = stop
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, STRETCH // 8
+        for batch in batches_and_end(batches):
+            if batch is not None:
+                held.append([c.to_numpy() for c in batch.columns])
+                rows += batch.num_rows
+                if rows < enough:
+                    continue
+            if not rows:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            told = rows if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
+            yield from pairs(*(c[:told] for c in columns)) if told else ()
+            held, rows = [[c[told:] for c in columns]], rows - told
+            enough = max(STRETCH // 8, 2 * rows)
+
+    named = nodes.join(part, nodes["id"] == part["node"], "left").select("id", "size", F.coalesce("root", "id").alias("root"), "prefix")
+    entries = named.select(F.posexplode("prefix").alias("place", "key"), "root", "id", "size").select("key", "root", "id", "size", "place")
+    return entries.repartition("key").sortWithinPartitions("key", "root").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes (id, key, size, parity) that are alike, by the shingles of rows (key, t)."""
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = (1 - similarity) / (1 + similarity) * n + 1e-9
+            sides = zip(batch.column(4), batch.column(5), strict=True)
+            near = [_least_apart(x.values.to_numpy(), y.values.to_numpy()) <= m for (x, y), m in zip(sides, most, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["fp", "own"])
+            own = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            same = [i == _set_id(x) for i, x in zip(batch.column(0).to_pylist(), own, strict=True)]  # other keys may have the same hash
+            sets = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "own"]).filter(pa.array(same, pa.bool_()))
+
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+    pairs = materialize(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may, "a long, b long"))
+    ends = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "key"), "id").select("id", F.xxhash64("key").alias("hash")))
+    if not (n := ends.count()):
+        return pairs
+    # Rows that repeat a key hold the same text.
+    sets = rows.select(F.xxhash64("key").alias("hash"), "t").join(F.broadcast(ends) if n <= LOOKUP else ends, "hash")
+    sets = materialize(sets.select("id", "t").mapInArrow(told, "id long, own array<long>").groupBy("id").agg(F.first("own").alias("own")))
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("own").alias(f"s{side}")), side)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return materialize(pairs.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
 
+def similar(docs: DataFrame, key_col: str, text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
+    """(key, n, component): each key, in how many rows it stands, and the least key that links reach; keys of a text must be its own.
+
+    All texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more are linked, and no others.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    maybe = round(64 * WORDS * share + 2 * math.sqrt(64 * WORDS * share * (1 - share)))
+    kind = docs.schema[key_col].dataType.simpleString()
     rows = docs.select(F.col(key_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("t"))
-    marked = materialize(rows.mapInArrow(mark, f"key {kind}, fp long, wide array<long>"))
-    nodes = materialize(marked.groupBy("fp").agg(F.min(F.struct("key", "wide")).alias("m")).select("fp", "m.key", "m.wide"))
-    pairs = similar_pairs(nodes, similarity)
+    often, counts = _often(rows.select("t"), shingle)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            wide = np.array([_wide(x) for x in sets], np.uint64).view(np.int64)
+            prefix = [(_prefix(x, often, counts, similarity) & np.uint64(MATCHED)).view(np.int64) for x in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (list(wide), prefix, [_parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set_id(x) for x in sets]), pa.array([len(x) for x in sets]), pa.array(wide[:, 0]), *lists], ["key", "id", "size", "fp", "wide", "prefix", "parity"])
+
+    marked = materialize(rows.mapInArrow(mark, f"key {kind}, id long, size long, fp long, wide array<long>, prefix array<long>, parity array<long>"))
+    # All but the key follow from the set of shingles.
+    nodes = materialize(marked.groupBy("id").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "fp", "wide", "prefix", "parity"))))
+    heads = materialize(nodes.groupBy("fp").agg(F.min(F.struct("id", "wide")).alias("m")).select("fp", "m.id", "m.wide"))
+    pairs = similar_pairs(heads, similarity)
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("fp").alias(side), F.col("wide").alias(f"w{side}")), side)
+        pairs = pairs.join(heads.select(F.col("fp").alias(side), F.col("id").alias(f"i{side}"), F.col("wide").alias(f"w{side}")), side)
+    meeting = pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.col("wa"), F.col("wb"))
+    equal = nodes.select("fp", F.col("id").alias("b"), F.col("wide").alias("wb")).join(heads.select("fp", F.col("id").alias("a"), F.col("wide").alias("wa")), "fp").where("a <> b")
+    meeting = meeting.unionByName(equal.select("a", "b", "wa", "wb"))
     apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = materialize(pairs.select("a", "b", apart.alias("apart")).where(F.col("apart") <= maybe))
-    known = pairs.where(F.col("apart") <= sure).select("a", "b")
-    open_pairs = pairs.where(F.col("apart") > sure).select("a", "b")
-    if open_pairs.limit(1).count():
-        part = materialize(components(known))
-        for side in "ab":
-            open_pairs = open_pairs.join(part.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-        open_pairs = materialize(open_pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-        ends = open_pairs.select(F.col("a").alias("fp")).unionAll(open_pairs.select(F.col("b").alias("fp"))).distinct()
-        named = nodes.join(ends, "fp", "left_semi").select("fp", F.col("key").alias("k"))
-        # Rows that repeat a key hold the same text.
-        sets = rows.join(named, rows["key"].eqNullSafe(named["k"])).select("fp", "t").mapInArrow(told, "fp long, own array<long>")
-        sets = materialize(sets.groupBy("fp").agg(F.min("own").alias("own")))
-        for side in "ab":
-            open_pairs = open_pairs.join(sets.select(F.col("fp").alias(side), F.col("own").alias(f"s{side}")), side)
-        both = F.size(F.array_intersect("sa", "sb"))
-        alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-        known = known.unionAll(open_pairs.where(alike).select("a", "b"))
-    part = components(known)
-    joined = nodes.join(part, nodes["fp"] == part["node"], "left").select("fp", "key", F.coalesce("root", "fp").alias("root"))
+    known = _alike(meeting.where(apart <= maybe).select("a", "b"), nodes, rows, shingle, similarity)
+    rest = _alike(_sharing(nodes, materialize(components(known)), similarity), nodes, rows, shingle, similarity)
+    part = components(known.unionAll(rest))
+    joined = nodes.join(part, nodes["id"] == part["node"], "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     least = joined.groupBy("root").agg(F.min("key").alias("component"))
-    named = joined.join(least, "root").select("fp", "component")
-    counted = marked.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(named, "fp").select("key", "n", "component")
+    named = joined.join(least, "root").select("id", "component")
+    counted = marked.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(named, "id").select("key", "n", "component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,3 +367,33 @@ def test_bpe_joins_encode_windows_only(spark, monkeypatch):
     for x in bpe.encode(d).collect():
         whole = whole_of[x["doc_id"]]
         assert x["ids"] == t.encode(whole, add_special_tokens=False).ids and x["decoded"] == t.decode(x["ids"], skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 16])
+def test_similar_texts_at_the_threshold(spark, monkeypatch, stretch):
+    monkeypatch.setattr(simhash, "STRETCH", stretch)
+    fresh = (f"w{k}" for k in range(1_000_000))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for n in (8, 12, 16, 20, 44, 84, 204, 1004):  # n - 4 shingles: short and long texts at 0.8 exactly, and the nearest below
+        for _ in range(5):
+            w = new(n)
+            texts += [w, w + new((n - 4) // 4), new((n - 4) // 4 + 1) + w]
+    passage, copied = new(60), new(90)
+    texts += [passage + new(8) for _ in range(30)] + [passage + new(5)]  # one passage in all: 0.78 from each other, more from the last
+    texts += [copied[:k] + new(1) + copied[k + 1 :] for k in range(0, 90, 2)]  # a group of near copies, and one that is like some of these
+    texts += [copied[:78] + new(9)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        return k if group[k] == k else root(group[k])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    got = {x["key"]: x["component"] for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert got == {k: root(k) for k in range(len(rows))}
