@@ -21,7 +21,9 @@ are alike, the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 in any common o
 share one. Texts that links join already are not compared there; others must pass
 bounds that no two texts that are alike can fail (sizes, places of what is shared, and
 parities: one bit differs at most for each shingle that only one of them has), and
-then the shingles themselves decide again. No link rests on fingerprints alone.
+then the shingles themselves decide again. A shared shingle's texts travel as rows,
+with their parities, and only pairs that pass all bounds are told. No link rests on
+fingerprints alone.
 
 Defined results: a null text counts as empty; a text without words has the
 fingerprint zero and is linked like any other; fewer words than a shingle has make one
@@ -364,54 +366,90 @@ def _often(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sharing(nodes: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): sets of nodes (id, size, prefix) that share a shingle of their prefixes, are in different components of part (node, root), and may be alike by sizes and places."""
-
-    def pairs(keys: np.ndarray, roots: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # Rows are sorted by key and root: the others of a row's key and of later roots stand after its run.
-        at = np.arange(len(keys))
-        new = np.r_[True, keys[1:] != keys[:-1]]
-        run = np.r_[new[1:] | (roots[1:] != roots[:-1]), True]
-        run_end = np.flatnonzero(run)[np.cumsum(run) - run] + 1
-        key_end = np.r_[np.flatnonzero(new), len(keys)][np.cumsum(new)]
-        upto = np.cumsum(key_end - run_end)
-        start = 0
-        while start < len(at):
-            before = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, before + STRETCH, "right")))
-            n = (key_end - run_end)[start:stop]
-            x = np.repeat(at[start:stop], n)
-            y = run_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            n, m = sizes[x], sizes[y]
-            both = 1 + np.minimum(n - places[x], m - places[y]) - 1
-            near = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (both * (1 + similarity) >= similarity * (n + m) - 1e-9)
-            if near.any():
-                got = np.unique(np.stack((np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-            start = stop
+    """(a, b): sets of nodes (id, size, prefix, parity) that share a shingle of their prefixes, are in different components of part (node, root), and may be alike by sizes, places and parities.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A key goes on with its rows, not with its pairs; pairs are told when their parities are known.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Stretches of the batches that hold all rows of their keys."""
         held, rows, enough = [], 0, STRETCH // 8
         for batch in batches_and_end(batches):
             if batch is not None:
-                held.append([c.to_numpy() for c in batch.columns])
+                held.append(batch)
                 rows += batch.num_rows
                 if rows < enough:
                     continue
             if not rows:
                 continue
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            told = rows if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on in the next batch
-            yield from pairs(*(c[:told] for c in columns)) if told else ()
-            held, rows = [[c[told:] for c in columns]], rows - told
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column("key").to_numpy()
+            told = rows if batch is None else int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if told:
+                yield table.slice(0, told).combine_chunks()
+            held, rows = table.slice(told).to_batches(), rows - told
             enough = max(STRETCH // 8, 2 * rows)
 
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows are sorted by key and root.
+        for table in whole(batches):
+            keys, roots = table.column("key").to_numpy(), table.column("root").to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            ends = np.r_[starts[1:], len(keys)]
+            yield from table.filter(pa.array(np.repeat(roots[starts] != roots[ends - 1], ends - starts))).to_batches()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            keys, roots, ids, sizes, places = (table.column(c).to_numpy() for c in ("key", "root", "id", "size", "place"))
+            lists = table.column("parity").combine_chunks()
+            words = lists.value_lengths().to_numpy().astype(np.int64)
+            values, first = lists.flatten().to_numpy().view(np.uint64), np.cumsum(words) - words
+
+            def folded(rows: np.ndarray, n: int, words: np.ndarray = words, values: np.ndarray = values, first: np.ndarray = first) -> np.ndarray:
+                out = np.zeros((len(rows), n), np.uint64)
+                for w in np.unique(words[rows]).tolist():
+                    some = words[rows] == w
+                    out[some] = np.bitwise_xor.reduce(values[first[rows[some]][:, None] + np.arange(w)].reshape(-1, w // n, n), axis=1)
+                return out
+
+            # The others of a row's key and of later roots stand after its run.
+            at = np.arange(len(keys))
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            run = np.r_[new[1:] | (roots[1:] != roots[:-1]), True]
+            run_end = np.flatnonzero(run)[np.cumsum(run) - run] + 1
+            key_end = np.r_[np.flatnonzero(new)[1:], len(keys)][np.cumsum(new) - 1]
+            upto = np.cumsum(key_end - run_end)
+            start = 0
+            while start < len(at):
+                before = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, before + STRETCH, "right")))
+                n = (key_end - run_end)[start:stop]
+                x = np.repeat(at[start:stop], n)
+                y = run_end[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                n, m = sizes[x], sizes[y]
+                both = np.minimum(n - places[x], m - places[y])
+                may = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (both * (1 + similarity) >= similarity * (n + m) - 1e-9)
+                x, y, most = x[may], y[may], ((1 - similarity) / (1 + similarity) * (n + m) + 1e-9)[may]
+                length = np.minimum(words[x], words[y])
+                for w in np.unique(length).tolist():
+                    of = np.flatnonzero(length == w)
+                    for k in range(0, len(of), step := max(1, STRETCH // w)):
+                        some = of[k : k + step]
+                        some = some[np.bitwise_count(folded(x[some], w) ^ folded(y[some], w)).sum(axis=1) <= most[some]]
+                        if len(some):
+                            got = np.unique(np.stack((np.minimum(ids[x[some]], ids[y[some]]), np.maximum(ids[x[some]], ids[y[some]])), axis=1), axis=0)
+                            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+                start = stop
+
     named = nodes.join(part, nodes["id"] == part["node"], "left").select("id", "size", F.coalesce("root", "id").alias("root"), "prefix")
     entries = named.select(F.posexplode("prefix").alias("place", "key"), "root", "id", "size").select("key", "root", "id", "size", "place")
-    return entries.repartition("key").sortWithinPartitions("key", "root").mapInArrow(meet, "a long, b long").distinct()
+    shared = entries.repartition("key").sortWithinPartitions("key", "root").mapInArrow(several, "key long, root long, id long, size long, place int")
+    marked = materialize(shared).join(nodes.select("id", "parity"), "id").select("key", "root", "id", "size", "place", "parity")
+    return marked.repartition("key").sortWithinPartitions("key", "root").mapInArrow(near, "a long, b long").distinct()
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes (id, key, size, parity) that are alike, by the shingles of rows (key, t)."""
+def _by_distance(pairs: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, and of either side w: wide fingerprint, n: size, p: parity) within ``bits`` bits that may be alike by their parities."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,6 +459,13 @@ def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, si
             near = [_least_apart(x.values.to_numpy(), y.values.to_numpy()) <= m for (x, y), m in zip(sides, most, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.where(apart <= bits).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may, "a long, b long")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes (id, key) that are alike, by the shingles of rows (key, t)."""
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             own = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
@@ -428,9 +473,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, si
             sets = pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "own"]).filter(pa.array(same, pa.bool_()))
 
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
-    pairs = materialize(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(may, "a long, b long"))
+    pairs = materialize(pairs)
     ends = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "key"), "id").select("id", F.xxhash64("key").alias("hash")))
     if not (n := ends.count()):
         return pairs
@@ -465,15 +508,14 @@ def similar(docs: DataFrame, key_col: str, text_col: str = "text", shingle: int
     marked = materialize(rows.mapInArrow(mark, f"key {kind}, id long, size long, fp long, wide array<long>, prefix array<long>, parity array<long>"))
     # All but the key follow from the set of shingles.
     nodes = materialize(marked.groupBy("id").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "fp", "wide", "prefix", "parity"))))
-    heads = materialize(nodes.groupBy("fp").agg(F.min(F.struct("id", "wide")).alias("m")).select("fp", "m.id", "m.wide"))
-    pairs = similar_pairs(heads, similarity)
+    heads = materialize(nodes.groupBy("fp").agg(F.min(F.struct("id", "wide", "size", "parity")).alias("m")).select("fp", "m.*"))
+    of = lambda side: [F.col("id").alias(side), F.col("wide").alias(f"w{side}"), F.col("size").alias(f"n{side}"), F.col("parity").alias(f"p{side}")]
+    meeting = similar_pairs(heads, similarity).toDF("fa", "fb")
     for side in "ab":
-        pairs = pairs.join(heads.select(F.col("fp").alias(side), F.col("id").alias(f"i{side}"), F.col("wide").alias(f"w{side}")), side)
-    meeting = pairs.select(F.col("ia").alias("a"), F.col("ib").alias("b"), F.col("wa"), F.col("wb"))
-    equal = nodes.select("fp", F.col("id").alias("b"), F.col("wide").alias("wb")).join(heads.select("fp", F.col("id").alias("a"), F.col("wide").alias("wa")), "fp").where("a <> b")
-    meeting = meeting.unionByName(equal.select("a", "b", "wa", "wb"))
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    known = _alike(meeting.where(apart <= maybe).select("a", "b"), nodes, rows, shingle, similarity)
+        meeting = meeting.join(heads.select(F.col("fp").alias(f"f{side}"), *of(side)), f"f{side}")
+    meeting = meeting.drop("fa", "fb")
+    equal = nodes.select("fp", *of("b")).join(heads.select("fp", *of("a")), "fp").where("a <> b").drop("fp")
+    known = _alike(_by_distance(meeting.unionByName(equal), maybe, similarity), nodes, rows, shingle, similarity)
     rest = _alike(_sharing(nodes, materialize(components(known)), similarity), nodes, rows, shingle, similarity)
     part = components(known.unionAll(rest))
     joined = nodes.join(part, nodes["id"] == part["node"], "left").select("id", "key", F.coalesce("root", "id").alias("root"))

@@ -397,3 +397,21 @@ def test_similar_texts_at_the_threshold(spark, monkeypatch, stretch):
                 group[y] = x
     got = {x["key"]: x["component"] for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
     assert got == {k: root(k) for k in range(len(rows))}
+
+
+def test_similar_texts_tell_few_pairs(spark, monkeypatch):
+    # Texts that share a passage of a third of each are not alike; told pairs must not grow with the square of their number.
+    monkeypatch.setattr(simhash, "FREQUENT", 1000)  # the passage is not known to be frequent, as one that a sample misses
+    told = []
+    plain = simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *x: plain(told.append(kept := simhash.materialize(pairs)) or kept, *x))
+    fresh = (f"w{k}" for k in range(1_000_000))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    passage = new(100)
+    texts = [passage + new(200) for _ in range(120)]
+    base = new(100)
+    texts += [base, base + new(24)]  # 96 of 120 shingles: 0.8
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["key"]: x["component"] for x in simhash.similar(d, "doc_id").collect()}
+    assert got == {**{k: k for k in range(121)}, 121: 120}
+    assert sum(x.count() for x in told) <= len(texts)
