@@ -13,7 +13,9 @@ The trie is whole and never in one place. Documents are read in blocks of
 context) with their training counts. Contexts of less than ``BASE`` symbols are
 sent to all tasks (at most 257**BASE entries, whatever the corpus); longer ones
 are dealt by their newest ``BASE`` symbols, so that a task has all that its
-contexts escape to. The probabilities return to the blocks by joins.
+contexts escape to. The probabilities return to the blocks by joins, packed
+without loss: up to ``_PACK`` codes of a block, and their probabilities, in a row;
+so do the texts, up to ``_TEXTS`` bytes in a row.
 
 Beside it stands a unigram score. Counts of the ``HOT`` most frequent tokens are
 sent to the tasks (a bounded table); other tokens are joined to their counts.
@@ -42,6 +44,10 @@ ORDER, BASE, HOT = 5, 3, 200_000
 BLOCK, BLOCK_CODES = 1 << 24, 1_000_000
 SYMBOLS, END = 257, 257  # bytes are symbols 1 to 256; 0 fills the context before a text
 _BITS = np.uint64(9)
+#: Codes of a block that travel in one row, and codes that are put together for that.
+_PACK, _PACKED = 512, 1 << 20
+#: Bytes of texts that travel in one row, or one text.
+_TEXTS = 1 << 14
 #: Symbols in one go; rows of the trie in one go; bits of a block's lookup table.
 _CHUNK, _ROWS, _SLOTS = 1 << 21, 500_000, 21
 
@@ -279,6 +285,71 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "code long, log double")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, first bytes first, compressed without loss."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8")[:, 0]
+
+
+def packs(told: DataFrame) -> DataFrame:
+    """(block, n, codes, logs): the rows (block, code, log), up to ``_PACK`` of a block in a row; codes as differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            block, code, log = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.lexsort((code, block))
+            block, code, log = block[by], code[by], log[by]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            ends = np.r_[starts[1:], len(block)]
+            parts = [(at, min(at + _PACK, e)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) for at in range(s, e, _PACK)]
+            columns = [pa.array(block[[a for a, _ in parts]]), pa.array([b - a for a, b in parts], pa.int32())]
+            columns.append(pa.array([_packed(np.diff(code[a:b], prepend=np.uint64(0))) for a, b in parts], pa.binary()))
+            columns.append(pa.array([_packed(log[a:b]) for a, b in parts], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["block", "n", "codes", "logs"])
+
+        for batch in batches:
+            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()])
+            size += batch.num_rows
+            if size >= _PACKED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return told.select("block", "code", "log").mapInArrow(run, "block long, n int, codes binary, logs binary")
+
+
+def text_packs(texts: DataFrame, kept: list[str]) -> DataFrame:
+    """(block, t, sizes, kept...): rows (block, t, kept...) of a block put together, up to ``_TEXTS`` bytes, or one text; t is compressed, the others are arrays."""
+    d = texts.select("block", "t", *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, own = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            edges, held = [0], 0
+            for n, t in enumerate(own):
+                if n > edges[-1] and (held + len(t) > _TEXTS or block[n] != block[n - 1]):
+                    edges.append(n)
+                    held = 0
+                held += len(t)
+            edges.append(len(own))
+            whole = pa.array([pa.compress(b"".join(own[a:b]), codec="zstd", asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            offsets = pa.array(edges, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in (pa.array([len(t) for t in own], pa.int64()), *batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), whole, *lists], ["block", "t", "sizes", *kept])
+
+    return d.mapInArrow(run, "block long, t binary, sizes array<long>, " + ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in d.schema.fields[2:]))
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, c): how often each word, and the end, stands in column t."""
 
@@ -318,9 +389,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     counts = materialize(codes.groupBy("code").agg(F.sum("n").alias("n")), "zstd")
     told = codes.select("block", "code").join(probabilities(counts), "code")
     kept = ["i", *own_names.values()]
-    rows = texts.select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("log"), "t", *kept)
-    rows = rows.unionByName(told.select("block", "code", "log"), allowMissingColumns=True)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("n", "int"), ("codes", "binary"), ("logs", "binary"))]
+    rows = text_packs(texts, kept).select("block", *nothing, "t", "sizes", *kept).unionByName(packs(told), allowMissingColumns=True)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -328,36 +399,41 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         held: list[list[np.ndarray]] = []
         lookup = None
         for batch in batches:
-            is_text = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            is_text = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(is_text[1:] != is_text[:-1]) + 1).tolist(), batch.num_rows]
             for at, to in zip(edges[:-1], edges[1:], strict=True):
                 if at == to:
                     continue
                 some = batch.slice(at, to - at)
                 if not is_text[at]:
-                    held.append([some.column(1).to_numpy().view(np.uint64), some.column(2).to_numpy()])
+                    for m, c, x in zip(*(some.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                        held.append([np.cumsum(_unpacked(c, m), dtype=np.uint64), _unpacked(x, m).view(np.float64)])
                     continue
                 if held:  # the first text behind a block's codes
                     c, logs = (np.concatenate(x) for x in zip(*held, strict=True))
                     by = np.argsort(c)
                     lookup, held = Lookup(c[by], logs[by]), []
-                joined = some.column(3).to_pylist()
-                scores = np.concatenate([lookup.scores(joined[part]) for part in chunks(joined)])
-                base, n_known, n_tokens, rare = [], [], [], []
-                for t in joined:
-                    w = t.split()
-                    logs = [*map(get, w), end]
-                    n_tokens.append(len(logs))
-                    left = Counter([t for t, x in zip([*w, b""], logs, strict=True) if x is None]) if None in logs else {}
-                    if left:
-                        logs = [x for x in logs if x is not None]
-                    base.append(float(sum(logs)))
-                    n_known.append(len(logs))
-                    rare.append([{"token": t, "n": n} for t, n in left.items()])
-                yield pa.RecordBatch.from_arrays([pa.array(n_tokens), pa.array(n_known), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))), *some.columns[4:]], [*"nkbsr", *kept])
+                for k in range(len(some)):
+                    sizes = some.column(5)[k].values.to_numpy()
+                    ends = np.cumsum(sizes).tolist()
+                    whole = pa.decompress(some.column(4)[k].as_py(), decompressed_size=ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+                    joined = [whole[e - m : e] for e, m in zip(ends, sizes.tolist(), strict=True)]
+                    scores = np.concatenate([lookup.scores(joined[part]) for part in chunks(joined)])
+                    base, n_known, n_tokens, rare = [], [], [], []
+                    for t in joined:
+                        w = t.split()
+                        logs = [*map(get, w), end]
+                        n_tokens.append(len(logs))
+                        left = Counter([t for t, x in zip([*w, b""], logs, strict=True) if x is None]) if None in logs else {}
+                        if left:
+                            logs = [x for x in logs if x is not None]
+                        base.append(float(sum(logs)))
+                        n_known.append(len(logs))
+                        rare.append([{"token": t, "n": n} for t, n in left.items()])
+                    yield pa.RecordBatch.from_arrays([pa.array(n_tokens), pa.array(n_known), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))), *(c[k].values for c in some.columns[6:])], [*"nkbsr", *kept])
 
     # A block's codes stand before its texts.
-    first = rows.repartition("block").sortWithinPartitions("block", F.col("t").isNotNull()).select("block", "code", "log", "t", *kept)
+    first = rows.repartition("block").sortWithinPartitions("block", F.col("t").isNotNull()).select("block", "n", "codes", "logs", "t", "sizes", *kept)
     first = first.mapInArrow(run, f"n long, k long, b double, s double, r array<struct<token: binary, n: long>>, {kinds}")
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.where(F.size("r") > 0).select("row", F.explode("r").alias("x")).select("row", "x.token", F.col("x.n").alias("m"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.llm import bpe, htmlpages, htmltext, pii, ppm, secrets, simhash, spans, toxicity, winnow
 
@@ -152,6 +153,23 @@ def test_ppm_brute_force(spark, monkeypatch, block, rows):
         assert math.isclose(sum(log(s, j) for j in range(ppm.ORDER, len(s))) / math.log(10), got[i], rel_tol=1e-9)
 
 
+def test_ppm_rows_of_a_block_travel_packed(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    code = np.unique(r.integers(0, 1 << 54, 3000)).tolist()
+    told = [(k % 2, c, float(x)) for k, (c, x) in enumerate(zip(code, -r.random(len(code)), strict=True))]
+    got = ppm.packs(spark.createDataFrame(told, "block long, code long, log double").coalesce(1)).collect()
+    back = [(x["block"], int(c), float(v)) for x in got for c, v in zip(np.cumsum(ppm._unpacked(x["codes"], x["n"]), dtype=np.uint64), ppm._unpacked(x["logs"], x["n"]).view(np.float64), strict=True)]
+    assert sorted(back) == sorted(told) and len(got) == 6
+    assert sum(len(x["codes"]) + len(x["logs"]) for x in got) < 15 * len(told)
+    # Texts with zeros, without words and over a row's bytes; every row of the result has its own score and extra column.
+    monkeypatch.setattr(ppm, "_TEXTS", 20)
+    table = [(k, t) for k, t in enumerate(["a\0b c", "", None, "the cat " * 9, "\0", "a\0b c", "zebra"])]
+    d = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    few = {x["doc_id"]: (x["twice"], x["n_tokens"], x["score"]) for x in ppm.score(d, F.lit(True), extra={"twice": F.col("doc_id") * 2}).collect()}
+    assert [few[k][:2] for k in range(7)] == [(0, 3), (2, 1), (4, 1), (6, 19), (8, 2), (10, 3), (12, 2)]
+    assert few[0][2] == few[5][2] and few[1][2] == few[2][2] and len({x[2] for x in few.values()}) == 5
+
+
 def test_ppm_rare_tokens_join(docs):
     few, all_hot = ({(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in ppm.score(docs, docs["doc_id"] != 2, hot=h).collect()} for h in (1, 1000))
     assert few == all_hot
