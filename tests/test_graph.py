@@ -43,6 +43,19 @@ def test_automorphic_and_non_induced(spark):
     assert match.match(g, Query([[1.0, 0.0]] * 4, SHAPES["cycle4"]), 0.9).count() == 24
 
 
+def test_late_filter_reads_edges_between_candidates(spark, monkeypatch):
+    """A hub with many leaves that are no candidates: late joined all pairs of its leaves."""
+    leaves = 60
+    vectors, edges = [[1, 0]] * 3 + [[0, 1]] * leaves, [(0, 1), (1, 2), (0, 2)] + [(0, k) for k in range(3, 3 + leaves)]
+    g = made(spark, vectors, edges)
+    sizes = []
+    monkeypatch.setattr(match, "written", lambda d, w=match.written: sizes.append((d.columns, (out := w(d)).count())) or out)
+    q = g.query_of([0, 1, 2], SHAPES["triangle"])
+    got = sorted(map(tuple, match.match(g, q, 0.9, strategy="late").collect()))
+    assert got == brute(vectors, edges, q, 0.9) and len(got) == 6
+    assert [n for c, n in sizes if c == ["src", "dst"]] == [6]
+
+
 def test_single_vertex_disconnected_and_limit(spark):
     g = made(spark, [[1, 0], [0, 1], [1, 0]], [(0, 1)])
     assert {r[0] for r in match.match(g, Query([[1.0, 0.0]], []), 0.9).collect()} == {0, 2}
