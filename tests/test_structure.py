@@ -156,6 +156,26 @@ def plain_hops(near, s, hops):
     return {v: d for v, d in dist.items() if v != s}
 
 
+def test_walks_and_hops_from_packed_lists(spark, monkeypatch):
+    """Ids far apart, starts without edges and more starts than walk together; only wanted ids are told."""
+    from lodegraph.operators import packed
+
+    monkeypatch.setattr(packed, "WIDE", 3)
+    g, _, near = small(spark, 25, 40, seed=6)
+    far = Graph(g.vertices, g.edges.selectExpr("src * 5000000000 - 7 AS src", "dst * 5000000000 - 7 AS dst"))
+    name = lambda v: v * 5000000000 - 7
+    starts = spark.createDataFrame([(name(v),) for v in (*range(25), 99)], "id long")
+    every = {(r["seed"], r["id"]): r["mass"] for r in far.random_walk(starts, 4).collect()}
+    assert every[name(99), name(99)] == 1.0 and all(math.isclose(sum(m for (s, _), m in every.items() if s == name(v)), 1) for v in range(25))
+    only = [name(v) for v in (3, 5, 99)]
+    assert {k: round(m, 12) for k, m in every.items() if k[1] in only} == {(r["seed"], r["id"]): round(r["mass"], 12) for r in far.random_walk(starts, 4, only=only).collect()}
+    for hops in (1, 2, 3):
+        want = {(name(v), name(w), d) for v in range(25) for w, d in plain_hops(near, v, hops).items()}
+        assert set(map(tuple, far.within(hops, starts).collect())) == want == set(map(tuple, far.within(hops).collect()))
+        ends = spark.createDataFrame([(name(v),) for v in (1, 2, 8)], "id long")
+        assert sorted(map(tuple, far.within(hops, starts, ends).collect())) == sorted(w for w in want if w[1] in {name(v) for v in (1, 2, 8)})
+
+
 @pytest.mark.parametrize("soft,miss", [(False, 0), (True, 1)])
 def test_loss_search_against_plain_beam(spark, soft, miss):
     g, x, near = small(spark, 16, 24, seed=9)
