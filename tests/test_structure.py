@@ -176,6 +176,21 @@ def test_walks_and_hops_from_packed_lists(spark, monkeypatch):
         assert sorted(map(tuple, far.within(hops, starts, ends).collect())) == sorted(w for w in want if w[1] in {name(v) for v in (1, 2, 8)})
 
 
+def test_ranked_searches_keep_only_what_a_slot_may_take(spark, monkeypatch):
+    g, x, near = small(spark, 16, 26, seed=11)
+    q = g.query_of([0, 1, 2, 3], [(0, 1), (1, 2), (0, 2), (2, 3)])
+    tables, seeds = [], []
+    monkeypatch.setattr(ranked, "written", lambda d, w=ranked.written: tables.append(out := w(d)) or out)
+    monkeypatch.setattr(Graph, "random_walk", lambda self, s, *a, f=Graph.random_walk, **b: seeds.append([r[0] for r in s.collect()]) or f(self, s, *a, **b))
+    takes = {v for u in range(4) for v in range(16) if len(near[v]) >= len(q.neighbours[u]) and float(np.dot(q.vectors[u], x[v])) >= 0.4}
+    for search in (ranked.loss_search, ranked.proximity_search):
+        tables.clear()
+        search(g, q, 0.4, beam=2).collect()
+        hops = [t for t in tables if t.columns[:2] == ["src", "dst"] and len(t.columns) == 3]
+        assert hops and {r["dst"] for t in hops for r in t.collect()} <= takes
+    assert 0 < sum(map(len, seeds)) == len({v for s in seeds for v in s})  # a vertex walks once
+
+
 @pytest.mark.parametrize("soft,miss", [(False, 0), (True, 1)])
 def test_loss_search_against_plain_beam(spark, soft, miss):
     g, x, near = small(spark, 16, 24, seed=9)
