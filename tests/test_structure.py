@@ -322,6 +322,14 @@ def test_exports_first_ids(spark):
     assert got[1] == [1, 2, 3, 4, 5] and got[2] == sorted((at[1, 2], at[2, 1]))
 
 
+def test_keywords_of_many_words(spark):
+    from lodegraph.functions import text as txt
+
+    many = " ".join(f"w{k:05d}" for k in range(30000)) + " zebra zebra w00007"  # counted word by word, 900 million comparisons
+    one = spark.createDataFrame([(many,)], "text string").select(txt.query_text("text", "keywords", 3).alias("t"))
+    assert one.first()["t"] == "paper about w00007, zebra, w00000"
+
+
 def test_encoder_keeps_products(spark):
     r = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "the", "and"]
