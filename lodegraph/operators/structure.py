@@ -23,12 +23,11 @@ def domains(graph: Graph, query: Query) -> DataFrame:
 
 
 def _supported(graph: Graph, kept: DataFrame, u: int, others: list[int]) -> DataFrame:
-    """(v) of u's domain that have a neighbour in the domain of each other query vertex."""
-    own = kept.where(F.col("u") == u).select("v")
-    for w in others:
-        held = kept.where(F.col("u") == w).select(F.col("v").alias("dst"))
-        own = own.join(graph.edges.join(held, "dst", "left_semi").select(F.col("src").alias("v")), "v", "left_semi")
-    return own
+    """(v) of u's domain that have a neighbour in the domain of each other query vertex; the edges are read once for all of them."""
+    bit = F.element_at(F.array(*[F.lit(1 << others.index(w) if w in others else 0) for w in range(max(others) + 1)]), F.col("u") + 1)
+    held = kept.where(F.col("u").isin(others)).groupBy(F.col("v").alias("dst")).agg(F.bit_or(bit).alias("m"))
+    around = graph.edges.join(held, "dst").groupBy(F.col("src").alias("v")).agg(F.bit_or("m").alias("m"))  # a row for each vertex leaves a task
+    return kept.where(F.col("u") == u).select("v").join(around.where(F.col("m") == (1 << len(others)) - 1), "v", "left_semi")
 
 
 def refined(graph: Graph, query: Query, root: int | None = None) -> DataFrame:

@@ -104,6 +104,20 @@ def test_refined_keeps_what_structure_allows(spark):
             assert all(any((w, z) in got for z in near[v]) for w in (0, 1, 3))
 
 
+def test_directions_and_supports_read_once(spark):
+    """Each direction made the distinct edges again, and each other query vertex dealt all edges."""
+    pairs = spark.range(40).selectExpr("id % 7 AS src", "id % 5 AS dst")
+    both = undirected(pairs)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Union" not in plan
+    assert sorted(map(tuple, both.collect())) == sorted({p for k in range(40) if k % 7 != k % 5 for p in ((k % 7, k % 5), (k % 5, k % 7))})
+    g, _, near = small(spark, 40, 45, seed=3)
+    kept = spark.createDataFrame([(u, v) for u in range(3) for v in range(40) if v % (u + 2)], "u int, v long")
+    own = structure._supported(g, kept, 0, [1, 2])
+    assert {r["v"] for r in own.collect()} == {v for v in range(40) if v % 2 and any(w % 3 for w in near[v]) and any(w % 4 for w in near[v])}
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + own._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 3 + 1
+
+
 def test_orders_and_tree(spark):
     g, x, near = small(spark)
     q = g.query_of([0, 1, 2], [(0, 1), (1, 2), (0, 2)])
