@@ -25,6 +25,14 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def test_edge_lines_are_split_once(spark, graph, tmp_path):
+    """Each reader of the edges split all lines again."""
+    v, e = f"{tmp_path}/v", f"{tmp_path}/e"
+    files.write_graph(graph, v, e)
+    plan = files.read_graph(spark, v, e, normalize=False).edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("Relation") == 1
+
+
 def test_graph_files_of_many_parts(spark, graph, tmp_path):
     v, e = f"{tmp_path}/v", f"{tmp_path}/e"
     files.write_graph(Graph(graph.vertices.repartition(3), graph.edges.repartition(3)), v, e)
